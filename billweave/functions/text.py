@@ -5,6 +5,7 @@ Everything returns a ``Column`` built from JVM expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -83,6 +84,12 @@ def first_capture(candidates: list[tuple[Column, str, int]]) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate an array or struct once and use it often. A plain expression that
+    a lambda refers to would be evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANK_CHARS))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from billweave import fixed_values as fv
 from billweave.functions.normalize import Options, field_text
-from billweave.functions.text import fill, missing, strip
+from billweave.functions.text import fill, let, missing, strip
 
 FIELDS = list(fv.FIELD_PATTERNS)
 Provider = Callable[[DataFrame], DataFrame]
@@ -49,9 +49,7 @@ def requests(df: DataFrame, options: Options = Options()) -> DataFrame:
 def parse_answer(answer: Column, wanted: Column) -> Column:
     """Array of (field, value) for the wanted names that have a ``name=value``
     line; the last line of a name counts and UNSURE means empty."""
-    lines = F.split(strip(answer), "\n")
-
-    def one(name: Column) -> Column:
+    def one(lines: Column, name: Column) -> Column:
         prefix = F.concat(name, F.lit("="))
         line = F.try_element_at(F.filter(lines, lambda l: F.startswith(l, prefix)), F.lit(-1))
         value = strip(F.substring(line, F.char_length(prefix) + 1, F.char_length(line)))
@@ -59,7 +57,9 @@ def parse_answer(answer: Column, wanted: Column) -> Column:
             name.alias("field"),
             F.when(value == fv.ASSIST_UNSURE, F.lit("")).otherwise(value).alias("value"))
 
-    return F.filter(F.transform(wanted, one), lambda r: r["value"].isNotNull())
+    found = let(
+        F.split(strip(answer), "\n"), lambda lines: F.transform(wanted, lambda name: one(lines, name)))
+    return F.filter(found, lambda r: r["value"].isNotNull())
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:

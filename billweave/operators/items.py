@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from billweave import fixed_values as fv
 from billweave.functions.normalize import TOTAL, number_or_zero, two_places
 from billweave.functions.text import (
-    INLINE_BLANK, after_first_line, fill, jvm_regex, missing, strip,
+    INLINE_BLANK, after_first_line, fill, jvm_regex, let, missing, strip,
 )
 from billweave.schemas import GOODS_ITEM, GOODS_LIST
 
@@ -29,26 +29,24 @@ def no_goods() -> Column:
     return F.array().cast(GOODS_LIST)
 
 
-def contiguous_groups(
-    rows: Column, key: Callable[[Column], Column]
-) -> Column:
+def contiguous_groups(rows: Column, key: Callable[[Column], Column]) -> Column:
     """Array of runs of equal key, each an array slice; linear in the rows."""
-    def is_start(row: Column, i: Column) -> Column:
-        # index 0 has no predecessor
-        return F.when(i == 0, True).otherwise(key(row) != key(F.get(rows, i - 1)))
+    def cut(rows: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(rows) - 1),
+            lambda i: (i == 0) | (key(F.get(rows, i)) != key(F.get(rows, i - 1))),
+        )
+        return slices_at(rows, starts)
 
-    flags = F.transform(rows, lambda row, i: F.when(is_start(row, i), i))
-    return slices_at(rows, F.filter(flags, lambda i: i.isNotNull()))
+    return let(rows, lambda r: F.when(F.size(r) > 0, cut(r)).otherwise(F.array(r)))
 
 
 def slices_at(rows: Column, starts: Column) -> Column:
     """Cut an array at ascending 0-based start positions."""
-    return F.transform(
-        starts,
-        lambda s, k: F.slice(
-            rows, s + 1, F.coalesce(F.get(starts, k + 1), F.size(rows)) - s
-        ),
-    )
+    return let(starts, lambda at: F.transform(
+        at,
+        lambda s, k: F.slice(rows, s + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - s),
+    ))
 
 
 def goods_area(df: DataFrame, text: str = "full_text") -> DataFrame:
@@ -115,23 +113,22 @@ def goods_from_blocks(df: DataFrame, blocks: str = "blocks", out: str = "block_i
 
     plain = F.lit(jvm_regex(r"^\d+\.?\d*$"))
 
-    def one(rows: Column) -> Column:
-        right = texts(rows, "right")
+    def figures(left: Column, right: Column) -> Column:
         rates = F.filter(right, lambda t: F.endswith(t, F.lit("%")))
         numbers = F.filter(
             right,
             lambda t: ~F.endswith(t, F.lit("%")) & F.rlike(F.replace(t, F.lit(",")), plain),
         )
-        taxes = F.filter(
-            F.slice(numbers, F.lit(2), F.greatest(F.size(numbers), F.lit(0))),
-            lambda t: F.rlike(t, plain),
-        )
-        return goods_item(
-            goods_name=fill(F.get(texts(rows, "left"), F.lit(0))),
-            amount=fill(F.get(numbers, F.lit(0))),
+        return let(numbers, lambda found: goods_item(
+            goods_name=fill(F.get(left, F.lit(0))),
+            amount=fill(F.get(found, F.lit(0))),
             tax_rate=fill(F.try_element_at(rates, F.lit(-1))),
-            tax_amount=fill(F.get(taxes, F.lit(0))),
-        )
+            tax_amount=fill(F.get(F.filter(
+                found, lambda t, i: (i > 0) & F.rlike(t, plain)), F.lit(0))),
+        ))
+
+    def one(rows: Column) -> Column:
+        return let(texts(rows, "right"), lambda right: figures(texts(rows, "left"), right))
 
     items = F.filter(
         F.transform(F.col("_bands"), one),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billweave import fixed_values as fv
+from billweave.functions.text import let
 from billweave.operators.items import contiguous_groups, slices_at
 from billweave.schemas import BLOCK
 
@@ -96,19 +97,26 @@ def pages(spans: DataFrame, *keys: str) -> DataFrame:
 def _split_columns(line: Column, x_mid: Column) -> Column:
     """The one or two blocks of a line: left and right part of a line that
     crosses the split, else the whole line on the side of its first span."""
-    left = F.filter(line, lambda r: r["x"] < x_mid)
-    right = F.filter(line, lambda r: r["x"] >= x_mid)
-    first = F.get(line, F.lit(0))
-    last = F.element_at(line, -1)
-    return F.when(
-        (F.size(left) > 0) & (F.size(right) > 0),
-        F.array(
-            _block(F.array_join(_texts(left), " "), first["y"], first["x"], F.lit("left")),
-            _block(F.array_join(_texts(right), " "), first["y"], last["x"], F.lit("right")),
-        ),
-    ).otherwise(F.array(
-        _block(F.array_join(_texts(line), " "), first["y"], first["x"], side_of(first["x"], x_mid))
-    ))
+    first, last = F.get(line, F.lit(0)), F.element_at(line, -1)
+
+    def cut(halves: Column) -> Column:
+        left, right = halves["left"], halves["right"]
+        return F.when(
+            (left != "") & (right != ""),
+            F.array(
+                _block(left, first["y"], first["x"], F.lit("left")),
+                _block(right, first["y"], last["x"], F.lit("right")),
+            ),
+        ).otherwise(F.array(
+            _block(F.concat(left, right), first["y"], first["x"], side_of(first["x"], x_mid))))
+
+    def joined(rows: Column) -> Column:
+        return F.array_join(_texts(rows), " ")
+
+    return let(F.struct(
+        joined(F.filter(line, lambda r: r["x"] < x_mid)).alias("left"),
+        joined(F.filter(line, lambda r: r["x"] >= x_mid)).alias("right"),
+    ), cut)
 
 
 def page_lines(spans: DataFrame) -> DataFrame:
