@@ -58,7 +58,7 @@ parties AS (
 
 WORDS = """
 words AS (
-  SELECT doc_id, list_filter(string_split_regex(text, '[ \\n\\t\\r]+'), w -> w <> '') AS ws FROM documents),
+  SELECT doc_id, [w FOR w IN string_split_regex(text, '[ \\n\\t\\r]+') IF w <> ''] AS ws FROM documents),
 spans AS (
   SELECT 'docs/' || CAST(doc_id AS VARCHAR) || '.pdf' AS rel_path, i - 1 AS i, ws[i] AS text
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM words)),

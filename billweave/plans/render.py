@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores go round all of them, as the
+    text work behind it is bound by the processor. Larger scans stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def padded(value: Column, width: int) -> Column:
     return F.lpad(value.cast("string"), width, "0")
 
@@ -59,7 +66,7 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     base = F.when((key % 13 == 0) & (key > 0), key - 1).otherwise(key)
     total = money(F.col("o_totalprice"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -172,7 +179,7 @@ PARTY_TEXT = {
 
 def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both parties of every order: the customer and a supplier by key."""
-    headers = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    headers = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     df = headers.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
@@ -197,7 +204,7 @@ def party_lines(prefix: str, glue: str = "") -> list[Column]:
 def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document as a positioned span: 8 words to a line, 400
     to a page, lines 12 units apart with a jitter of up to 2."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.filter(F.split("text", "[ \\n\\t\\r]+"), lambda w: w != "")
     spans = docs.select("doc_id", F.posexplode(words).alias("i", "text"))
     i = F.col("i")
