@@ -57,8 +57,8 @@ def date_in_style(moment: Column, style: Column) -> Column:
     return result
 
 
-def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with the truth of its header fields.
+def order_headers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """One row per order, of the given orders or all, with the truth of its header fields.
 
     Every 13th order repeats the number of the one before; every 11th has no
     number; every 17th has no total.
@@ -66,7 +66,9 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     base = F.when((key % 13 == 0) & (key > 0), key - 1).otherwise(key)
     total = money(F.col("o_totalprice"))
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+    if orders is None:
+        orders = spread(table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -86,9 +88,9 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def header_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def header_documents(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """Order headers as text documents with labels and values in mixed layout."""
-    df = order_headers(spark, sf_dir)
+    df = order_headers(spark, sf_dir, orders)
     key = F.col("order_key")
     number = F.when(key % 7 == 0, wide_digits(F.col("number"))).otherwise(F.col("number"))
     check = F.regexp_replace(F.col("number"), "(.{4})", "$1 ")
@@ -113,6 +115,14 @@ def header_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as files that are no invoices."""
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    return pages.select(
+        F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel_path"),
+        F.lit(fv.UNSUPPORTED).alias("file_type"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("modification_time"))
+
+
 def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as goods rows with their place: sheet of the order and line."""
     lines = table(spark, sf_dir, "lineitem").select(
