@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,9 +97,13 @@ def completeness_note() -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+@cache
+def _remarks(items: str) -> Column:
+    notes = F.concat(
+        F.col("validation_notes"), check_notes_in_row(F.col(items)), completeness_note())
+    return F.array_join(notes, fv.REMARK_SEPARATOR)
+
+
 def with_remarks(df: DataFrame) -> DataFrame:
     """``remarks``: earlier notes, check notes and completeness, joined."""
-    notes = F.concat(
-        F.col("validation_notes"), check_notes_in_row(F.col("line_items")), completeness_note()
-    )
-    return df.withColumn("remarks", F.array_join(notes, fv.REMARK_SEPARATOR))
+    return df.withColumn("remarks", _remarks("line_items"))

@@ -6,6 +6,8 @@ no Python worker.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from billweave import fixed_values as fv
 from billweave.functions.normalize import Options, field_text
 from billweave.functions.text import (
     after_first_line, before_last_line, capture, fill, first_capture, first_line,
-    jvm_regex, last_line, matches, merge_label_lines, missing, strip,
+    jvm_regex, last_line, let, matches, merge_label_lines, missing, strip,
 )
 from billweave.schemas import HEADER_FIELDS
 
@@ -68,14 +70,23 @@ def with_header_fields(df: DataFrame) -> DataFrame:
 def fill_from_patterns(
     df: DataFrame, text: str = "full_text", options: Options = Options()
 ) -> DataFrame:
-    """Fill the empty ones of the 11 pattern fields from the merged-line text."""
-    staged = df.withColumn("_merged", merge_label_lines(F.col(text)))
-    return staged.withColumns({
-        field: F.when(
-            missing(F.col(field)), pattern_field(F.col("_merged"), field, options)
-        ).otherwise(F.col(field))
-        for field in fv.FIELD_PATTERNS
-    }).drop("_merged")
+    """Fill the empty ones of the 11 pattern fields from the merged-line text.
+
+    The table is one lambda over the merged text: the text is merged once and the
+    38 patterns stay out of the generated code, which they would push over the
+    size the JVM compiles. The regexes themselves run the same. Columns are plain
+    expressions, so the table is built once per process.
+    """
+    staged = df.withColumn("_fields", _pattern_table(text, options))
+    return staged.withColumns({f: F.col(f"_fields.{f}") for f in fv.FIELD_PATTERNS}).drop("_fields")
+
+
+@cache
+def _pattern_table(text: str, options: Options) -> Column:
+    return let(merge_label_lines(F.col(text)), lambda merged: F.struct(*[
+        F.when(missing(F.col(field)), pattern_field(merged, field, options))
+        .otherwise(F.col(field)).alias(field)
+        for field in fv.FIELD_PATTERNS]))
 
 
 def _any_marker(party: str) -> str:
@@ -114,6 +125,32 @@ def party_section(df: DataFrame, party: str, text: str = "full_text") -> DataFra
     )
 
 
+def party_field_names(party: str) -> list[str]:
+    return [f"{party}_{part}" for part in dict.fromkeys(p for p, _, _ in fv.PARTY_PATTERNS)]
+
+
+def party_values(texts: Column, party: str) -> Column:
+    """Party fields as they are or from the first of the party's texts and
+    patterns that matches."""
+    def value(field: str) -> Column:
+        rules = [(p, g) for name, p, g in fv.PARTY_PATTERNS if f"{party}_{name}" == field]
+        found = first_capture([
+            (texts[kind], p, g) for kind in ("column", "line", "section") for p, g in rules])
+        return F.when(missing(F.col(field)), fill(strip(found))).otherwise(F.col(field))
+
+    return F.struct(*[value(f).alias(f) for f in party_field_names(party)])
+
+
+@cache
+def _party_table(party: str) -> Column:
+    texts = F.struct(
+        F.when(F.col("has_side"), F.col(f"{fv.PARTY_SIDE[party]}_text")).alias("column"),
+        F.when(F.col(f"{party}_both"), F.col(f"{party}_line")).alias("line"),
+        F.col(f"{party}_section").alias("section"),
+    )
+    return let(texts, lambda t: party_values(t, party))
+
+
 def fill_from_sections(df: DataFrame, text: str = "full_text") -> DataFrame:
     """Fill empty party fields from the section of each party.
 
@@ -132,21 +169,10 @@ def fill_from_sections(df: DataFrame, text: str = "full_text") -> DataFrame:
         staged = party_section(
             staged.withColumn("_lines", F.when(~F.col("has_side"), F.col(text))), party, "_lines"
         ).drop("_lines")
-        column_text = F.col(f"{fv.PARTY_SIDE[party]}_text")
-        same_line = F.when(F.col(f"{party}_both"), F.col(f"{party}_line"))
-        section = F.col(f"{party}_section")
-        filled = {}
-        for part in dict.fromkeys(p for p, _, _ in fv.PARTY_PATTERNS):
-            rules = [(p, g) for name, p, g in fv.PARTY_PATTERNS if name == part]
-            by_column = first_capture([(column_text, p, g) for p, g in rules])
-            by_line = first_capture([(t, p, g) for t in (same_line, section) for p, g in rules])
-            field = F.col(f"{party}_{part}")
-            filled[f"{party}_{part}"] = F.when(~missing(field), field).when(
-                F.col("has_side"), fill(strip(by_column))
-            ).otherwise(fill(strip(by_line)))
-        staged = staged.withColumns(filled).drop(
-            f"{party}_line", f"{party}_both", f"{party}_section"
-        )
+        staged = staged.withColumn("_party", _party_table(party))
+        staged = staged.withColumns({
+            name: F.col(f"_party.{name}") for name in party_field_names(party)
+        }).drop(f"{party}_line", f"{party}_both", f"{party}_section", "_party")
     return staged if "has_side" in df.columns else staged.drop("has_side", "left_text", "right_text")
 
 

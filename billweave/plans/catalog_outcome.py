@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave import fixed_values as fv
@@ -10,30 +10,26 @@ from billweave.operators import assist, outcome, stats
 from billweave.plans import render
 from billweave.plans.catalog_sql import GOODS, ORDER_HEADERS, OUTCOMES
 from billweave.plans.folder_run import extract, process_documents
-from billweave.plans.storage import run_folder
+from billweave.plans.storage import run_folder, stored
 from billweave.sources import files, sinks
 from billweave.streaming import ingest
 
 # ---- files ----------------------------------------------------------------
 
-NAMES = ["{}.ofd", "{}.PDF", "{}.jpg", "{}.b.JPEG", "{}.png", "{}.txt", ".pdf{}"]
+NAMES = [("", ".ofd"), ("", ".PDF"), ("", ".jpg"), ("", ".b.JPEG"), ("", ".png"), ("", ".txt"), (".pdf", "")]
 
 
 def classify_route(spark: SparkSession, sf: str) -> DataFrame:
     docs = render.table(spark, sf, "documents").select("doc_id", "source")
     key = F.col("doc_id")
-    name = F.get(F.array(*[F.concat(*[F.lit(p) if p else key.cast("string") for p in _parts(n)]) for n in NAMES]), (key % 7).cast("int"))
+    names = [F.concat(F.lit(before), key.cast("string"), F.lit(after)) for before, after in NAMES]
     folder = F.when(key % 10 == 0, F.concat("source", F.lit("/__pycache__"))).otherwise(F.col("source"))
-    listed = docs.select("doc_id", F.concat(folder, F.lit("/"), name).alias("rel_path"))
+    listed = docs.select(
+        "doc_id", F.concat(folder, F.lit("/"), F.get(F.array(*names), (key % 7).cast("int"))).alias("rel_path"))
     kept = listed.filter(~files.in_skipped_directory(F.col("rel_path"), fv.SKIP_DIRECTORIES))
     return files.classify(kept).select("doc_id", "rel_path", "ext", "file_type", "route")
 
 
-def _parts(name: str) -> list[str]:
-    before, after = name.split("{}")
-    return [p for p in (before, "", after) if p or p == ""]
-
-
 CLASSIFY_SQL = """
 WITH n AS (SELECT doc_id, source || '/' || CASE doc_id % 7 WHEN 0 THEN doc_id || '.ofd' WHEN 1 THEN doc_id || '.PDF' WHEN 2 THEN doc_id || '.jpg'
     WHEN 3 THEN doc_id || '.b.JPEG' WHEN 4 THEN doc_id || '.png' WHEN 5 THEN doc_id || '.txt' ELSE '.pdf' || doc_id END AS rel_path
@@ -98,7 +94,9 @@ def decided(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    return outcome.mark_duplicates(decided(spark, sf))
+    """Marked outcome rows. The decided rows are stored first: marking reads them
+    twice and the outputs again, and extraction should run once."""
+    return outcome.mark_duplicates(stored(decided(spark, sf), run_folder(spark), "decided"))
 
 
 PAGES_SQL = """

@@ -10,7 +10,7 @@ from billweave.functions.normalize import Options, field_text
 from billweave.functions.text import missing
 from billweave.operators import assist, fields, items, layout, outcome, tags
 from billweave.operators.checks import with_remarks
-from billweave.plans.storage import run_folder, stored
+from billweave.plans.storage import keep_in, run_folder, stored
 from billweave.schemas import BLOCK_LIST, GOODS_LIST, HEADER_FIELDS
 from billweave.sources import archives, files, sinks
 
@@ -54,7 +54,7 @@ def extract(docs: DataFrame, options: Options = Options()) -> DataFrame:
 def finish(docs: DataFrame) -> DataFrame:
     """Checks, remarks and outcome of extracted documents."""
     done = outcome.with_outcome(with_remarks(docs))
-    return done.drop("full_text", "blocks", "parse_errors", "fallback_entry")
+    return done.drop("full_text", "blocks", "parse_errors")
 
 
 def process_documents(
@@ -92,7 +92,7 @@ def read_documents(
     from the span and block tables of an external reader."""
     nodes = stored(archives.shred_archives(files.archive_content(spark, root)), folder, "nodes")
     listing = nodes.select("rel_path").distinct()
-    docs = tags.tagged_documents(listing, nodes, options.fallback)
+    docs = tags.tagged_documents(listing, nodes, options.fallback, keep_in(folder))
     if recognised is not None:
         # blocks read from the first image of a fallback archive are keyed by path and entry
         images = recognised.filter(F.col("entry").isNotNull())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +30,11 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def keep_in(folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    """``stored`` into one folder, as a function of table and name."""
+    return lambda df, name: stored(df, folder, name)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
