@@ -40,7 +40,8 @@ def requests(df: DataFrame, options: Options = Options()) -> DataFrame:
     """``rel_path, field, system_text, request_text``: one row per empty field of
     a low-confidence text document."""
     queue = df.filter(is_low_confidence(options)).select(
-        "rel_path", "full_text", F.explode(empty_fields()).alias("field"))
+        "rel_path", "full_text", F.explode_outer(empty_fields()).alias("field")
+    ).filter(F.col("field").isNotNull())
     return queue.select(
         "rel_path", "field", F.lit(fv.ASSIST_SYSTEM_TEXT).alias("system_text"),
         request_text(F.col("full_text"), F.col("field")).alias("request_text"))
@@ -64,7 +65,8 @@ def parse_answer(answer: Column, wanted: Column) -> Column:
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """``rel_path, field, value`` from ``rel_path, wanted, answer_text`` rows."""
-    return answers.select("rel_path", F.inline(parse_answer(F.col("answer_text"), F.col("wanted"))))
+    found = parse_answer(F.col("answer_text"), F.col("wanted"))
+    return answers.select("rel_path", F.inline_outer(found)).filter(F.col("field").isNotNull())
 
 
 def merge_answers(df: DataFrame, answers: DataFrame, options: Options = Options()) -> DataFrame:

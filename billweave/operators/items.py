@@ -220,7 +220,11 @@ def goods_from_json(text: Column) -> Column:
 
 
 def explode_goods(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per goods line with its 1-based position."""
-    return df.select(*keep, F.posexplode("line_items").alias("_i", "_item")).select(
-        *keep, (F.col("_i") + 1).alias("item_no"), "_item.*"
-    )
+    """One row per goods line with its 1-based position.
+
+    The outer form plus a filter on the result: the plain form lets the
+    optimizer test the list before exploding it, which extracts it again.
+    """
+    rows = df.select(*keep, F.posexplode_outer("line_items").alias("_i", "_item"))
+    return rows.filter(F.col("_i").isNotNull()).select(
+        *keep, (F.col("_i") + 1).alias("item_no"), "_item.*")

@@ -216,7 +216,7 @@ def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     to a page, lines 12 units apart with a jitter of up to 2."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.filter(F.split("text", "[ \\n\\t\\r]+"), lambda w: w != "")
-    spans = docs.select("doc_id", F.posexplode(words).alias("i", "text"))
+    spans = docs.select("doc_id", F.posexplode_outer(words).alias("i", "text")).filter(F.col("i").isNotNull())
     i = F.col("i")
     slot = i % WORDS_PER_LINE
     line = F.floor(i % WORDS_PER_PAGE / WORDS_PER_LINE)
@@ -341,7 +341,7 @@ def goods_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         cells.append(_reference(n * 40 + i * 10 + 5, tag, object_id))
         if tag == "Item":
             cells.append(_reference(n * 40 + 7, tag, F.lit("")))
-    rows = g.select("rel_path", F.explode(F.array(*cells)).alias("n")).select("rel_path", "n.*")
+    rows = g.select("rel_path", F.explode_outer(F.array(*cells)).alias("n")).select("rel_path", "n.*")
     heads = g.select("rel_path").distinct().select(
         "rel_path", F.explode(F.array(
             _entry("OFD.xml", 0), _entry(TAG_ENTRY_NAME, 1), _entry(CONTENT_NAME, 2),
@@ -391,7 +391,7 @@ def header_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = (key % 3 == 2) & (key % 4 == 1)
     cells = F.when(nothing, F.array(*entries)).when(
         key % 3 == 1, F.array(*entries, *named)).otherwise(F.array(*entries, *named, *tagged))
-    return df.select("order_key", "rel_path", F.explode(cells).alias("n")).select("order_key", "rel_path", "n.*")
+    return df.select("order_key", "rel_path", F.explode_outer(cells).alias("n")).select("order_key", "rel_path", "n.*")
 
 
 @F.pandas_udf(BinaryType())

@@ -31,8 +31,8 @@ def page_results_to_blocks(results: DataFrame) -> DataFrame:
     """Flatten recogniser output with one row per page and parallel arrays of
     texts, scores and polygons; absent scores are 0, absent polygons null."""
     return results.select(
-        "rel_path", "page", F.posexplode("rec_texts").alias("seq", "text"), "rec_scores", "rec_polys",
-    ).select(
+        "rel_path", "page", F.posexplode_outer("rec_texts").alias("seq", "text"), "rec_scores", "rec_polys",
+    ).filter(F.col("seq").isNotNull()).select(
         "rel_path", "page", "seq", "text",
         F.coalesce(F.get("rec_scores", F.col("seq")), F.lit(0.0)).alias("confidence"),
         F.get("rec_polys", F.col("seq")).alias("bbox"))
