@@ -10,7 +10,7 @@ from billweave.operators import assist, outcome, stats
 from billweave.plans import render
 from billweave.plans.catalog_sql import GOODS, ORDER_HEADERS, OUTCOMES
 from billweave.plans.folder_run import extract, process_documents
-from billweave.plans.storage import run_folder, stored
+from billweave.plans.storage import keep_in, run_folder, stored
 from billweave.sources import files, sinks
 from billweave.streaming import ingest
 
@@ -220,7 +220,8 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def goods_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.goods_detail(process_documents(render.goods_documents(spark, sf)))
+    done = process_documents(render.goods_documents(spark, sf))
+    return sinks.goods_detail(stored(done, run_folder(spark), "decided"))
 
 
 GOODS_DETAIL_SQL = f"""WITH {GOODS}
@@ -232,7 +233,8 @@ FROM goods"""
 # ---- assistance -----------------------------------------------------------
 
 def assist_queue(spark: SparkSession, sf: str) -> DataFrame:
-    queue = assist.requests(extract(render.header_documents(spark, sf)))
+    extracted = stored(extract(render.header_documents(spark, sf)), run_folder(spark), "extracted")
+    queue = assist.requests(extracted)
     return queue.select(
         "rel_path", "field", F.right("request_text", F.char_length("field") + 1).alias("ending"),
         F.char_length("system_text").cast("bigint").alias("n_system"))
@@ -281,7 +283,8 @@ def assist_merge(spark: SparkSession, sf: str) -> DataFrame:
     def provider(requests: DataFrame) -> DataFrame:
         return requests.select("rel_path", "field").join(answers, "rel_path")
 
-    done = process_documents(render.header_documents(spark, sf), provider=provider)
+    done = process_documents(
+        render.header_documents(spark, sf), provider=provider, keep=keep_in(run_folder(spark)))
     return done.select("rel_path", "invoice_number", "total_amount_cn", "status", "remarks")
 
 

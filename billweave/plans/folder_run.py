@@ -10,7 +10,7 @@ from billweave.functions.normalize import Options, field_text
 from billweave.functions.text import missing
 from billweave.operators import assist, fields, items, layout, outcome, tags
 from billweave.operators.checks import with_remarks
-from billweave.plans.storage import keep_in, run_folder, stored
+from billweave.plans.storage import Keep, keep_in, run_folder, stored, unstored
 from billweave.schemas import BLOCK_LIST, GOODS_LIST, HEADER_FIELDS
 from billweave.sources import archives, files, sinks
 
@@ -58,18 +58,25 @@ def finish(docs: DataFrame) -> DataFrame:
 
 
 def process_documents(
-    docs: DataFrame, options: Options = Options(), provider: assist.Provider | None = None
+    docs: DataFrame, options: Options = Options(), provider: assist.Provider | None = None,
+    keep: Keep = unstored,
 ) -> DataFrame:
-    """Extract, ask the provider where confidence is low, check and decide."""
+    """Extract, ask the provider where confidence is low, check and decide.
+
+    With a provider the extracted rows are read twice, by its queue and by the
+    merge of its answers; ``keep`` stores them in between. The same holds for the
+    result: a filter on it would be pushed into the extraction and run the
+    patterns a second time, so store it before filtering.
+    """
     extracted = extract(docs, options)
     if provider is not None and options.assist:
-        extracted = assist.assisted(extracted, provider, options)
+        extracted = assist.assisted(keep(extracted, "extracted"), provider, options)
     return finish(extracted)
 
 
 def outcomes(
     listing: DataFrame, documents: DataFrame, options: Options = Options(),
-    provider: assist.Provider | None = None,
+    provider: assist.Provider | None = None, keep: Keep = unstored,
 ) -> DataFrame:
     """Outcome rows of a listing: documents decided, other files skipped.
 
@@ -79,7 +86,7 @@ def outcomes(
     docs = known.join(documents, "rel_path", "left").withColumn(
         "source", F.coalesce("source", F.when(
             F.col("file_type") == "ofd", F.lit(fv.SOURCE_TAGGED)).otherwise(F.lit(fv.SOURCE_TEXT))))
-    done = process_documents(docs, options, provider)
+    done = process_documents(docs, options, provider, keep)
     results = done.unionByName(outcome.skipped_files(listing), allowMissingColumns=True)
     return results.withColumn("elapsed_seconds", F.lit(0.0))
 
@@ -133,7 +140,7 @@ def run_folder_to_tables(
     folder = folder or run_folder(spark)
     listing = files.scan_files(spark, root)
     documents = stored(read_documents(spark, root, folder, spans, recognised, options), folder, "documents")
-    decided = stored(outcomes(listing, documents, options, provider), folder, "decided")
+    decided = stored(outcomes(listing, documents, options, provider, keep_in(folder)), folder, "decided")
     if options.dedup:
         decided = stored(outcome.mark_duplicates(decided), folder, "results")
     sinks.write_outputs(decided, output)

@@ -30,11 +30,18 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def keep_in(folder: str) -> Callable[[DataFrame, str], DataFrame]:
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def keep_in(folder: str) -> Keep:
     """``stored`` into one folder, as a function of table and name."""
     return lambda df, name: stored(df, folder, name)
 
 
+def unstored(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
