@@ -305,45 +305,53 @@ def _entry(entry: str, entry_no: int) -> Column:
         none.cast("string").alias("text"), none.cast("array<int>").alias("ancestors"))
 
 
-def _object(entry_no: int, at: Column, object_id: Column, text: Column, x: Column, y: Column) -> list[Column]:
-    """A text object and its code; the text is cut in two codes."""
+def _cell(at: Column, object_id: Column, text: Column, x: Column, y: Column,
+          tag: str | None = None, reference_at: Column | None = None) -> Column:
+    """What one value needs: a text object and, with a tag, a reference to it."""
+    return F.struct(
+        at.cast("int").alias("at"), object_id.alias("object_id"), text.alias("text"),
+        x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(tag).cast("string").alias("tag"),
+        (F.lit(None) if reference_at is None else reference_at).cast("int").alias("reference_at"))
+
+
+def _cell_nodes(cells: DataFrame) -> DataFrame:
+    """Elements of ``rel_path, cell`` rows: object, its text in two codes, reference."""
+    c = cells.select("rel_path", "cell.*")
+    at, text = F.col("at"), F.col("text")
     attrs = F.create_map(
-        F.lit("ID"), object_id, F.lit("Boundary"),
-        F.concat_ws(" ", x.cast("string"), y.cast("string"), F.lit("10"), F.lit("5")))
+        F.lit("ID"), F.col("object_id"), F.lit("Boundary"),
+        F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string"), F.lit("10"), F.lit("5")))
     half = F.floor(F.char_length(text) / 2).cast("int")
     codes = [F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))]
-    return [
-        _node(CONTENT_NAME, entry_no, at, F.lit(0), "Layer", "TextObject", F.lit(None), attrs, F.array(F.lit(0)))
-    ] + [
-        _node(CONTENT_NAME, entry_no, at + i, at, "TextObject", "TextCode", code, None, F.array(F.lit(0), at.cast("int")))
-        for i, code in enumerate(codes, 1)
+    owned = F.array(F.lit(0), at)
+    nodes = [
+        F.when(text.isNotNull(), _node(
+            CONTENT_NAME, 2, at, F.lit(0), "Layer", "TextObject", F.lit(None), attrs, F.array(F.lit(0)))),
+        *[F.when(text.isNotNull(), _node(
+            CONTENT_NAME, 2, at + i, at, "TextObject", "TextCode", code, None, owned)) for i, code in enumerate(codes, 1)],
+        F.when(F.col("tag").isNotNull(), _node(
+            TAG_ENTRY_NAME, 1, F.col("reference_at"), F.col("reference_at") - 1, F.col("tag"), "ObjectRef",
+            F.col("object_id"), None, F.array(F.col("reference_at") - 1))),
     ]
-
-
-def _reference(at: Column, tag: str, object_id: Column) -> Column:
-    return _node(TAG_ENTRY_NAME, 1, at, at - 1, tag, "ObjectRef", object_id, None, F.array((at - 1).cast("int")))
+    rows = c.select("rel_path", F.explode_outer(F.array(*nodes)).alias("n"))
+    return rows.filter(F.col("n").isNotNull()).select("rel_path", "n.*")
 
 
 def goods_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goods sheets as XML elements: four reference lists and the text objects.
-
-    Every third line has no tax reference on the sheet's last lines only, so the
-    lists differ in length; an empty name reference precedes each list.
-    """
+    An empty name reference precedes every real one."""
     g = goods(spark, sf_dir)
     n = F.col("item_no").cast("int")
     values = {"Item": F.col("goods_name"), "TaxScheme": F.col("tax_rate"),
               "Amount": F.col("amount").cast("string"), "TaxAmount": F.col("tax_amount").cast("string")}
-    cells = []
+    no_text = F.lit(None).cast("string")
+    cells = [_cell(n * 40, F.lit(""), no_text, F.lit(0), F.lit(0), "Item", n * 40 + 4)]
     for i, (tag, value) in enumerate(values.items()):
-        object_id = F.concat(F.lit(f"{i}-"), n.cast("string"))
-        cells += _object(2, n * 40 + i * 10, object_id, value, F.lit(10.0 * i), n * 10.0)
-        cells.append(_reference(n * 40 + i * 10 + 5, tag, object_id))
-        if tag == "Item":
-            cells.append(_reference(n * 40 + 7, tag, F.lit("")))
-    rows = g.select("rel_path", F.explode_outer(F.array(*cells)).alias("n")).select("rel_path", "n.*")
-    heads = g.select("rel_path").distinct().select(
-        "rel_path", F.explode(F.array(
+        at = n * 40 + i * 10
+        cells.append(_cell(at, F.concat(F.lit(f"{i}-"), n.cast("string")), value, F.lit(10.0 * i), n * 10.0, tag, at + 5))
+    rows = _cell_nodes(g.select("rel_path", F.explode_outer(F.array(*cells)).alias("cell")))
+    heads = g.filter(n == 1).select(
+        "rel_path", F.explode_outer(F.array(
             _entry("OFD.xml", 0), _entry(TAG_ENTRY_NAME, 1), _entry(CONTENT_NAME, 2),
             _entry("Doc_0/other/CustomTag.xml", 3), _entry("Doc_0/Res/image_1.PNG", 4))).alias("n")
     ).select("rel_path", "n.*")
@@ -364,20 +372,14 @@ def header_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("TaxTotalAmount", F.col("tax").cast("string")),
         ("TaxInclusiveTotalAmount", F.format_number("total", 2)),
     ]
-    tagged = []
+    cells = [_cell(F.lit(50), F.lit("6902"), F.lit("OLD"), F.lit(1), F.lit(1))]
     for i, (tag, value) in enumerate(values):
-        at = F.lit(100 + i * 10)
-        object_id = F.lit(str(6900 + i))
+        at, y = F.lit(100 + i * 10), F.lit(10.0 + 3 * i)
         if tag.endswith("Amount"):
-            sign = F.lit(str(7900 + i))
-            tagged += _object(2, at + 5, sign, F.lit("¥"), F.lit(5.0), F.lit(10.0 + 3 * i))
-            tagged.append(_reference(at, tag, sign))
-        if tag == "InvoiceCode":
-            tagged += _object(2, F.lit(50), object_id, F.lit("OLD"), F.lit(1.0), F.lit(1.0))
-        tagged += _object(2, at, object_id, value, F.lit(20.0), F.lit(10.0 + 3 * i))
-        tagged.append(_reference(at + 2, tag, object_id))
-    tagged += _object(2, F.lit(500), F.lit("8001"), F.lit("增值税专用发票"), F.lit(1.0), F.lit(90.0))
-    tagged += _object(2, F.lit(510), F.lit("8002"), F.lit("叁佰圆整"), F.lit(1.0), F.lit(95.0))
+            cells.append(_cell(at + 5, F.lit(str(7900 + i)), F.lit("¥"), F.lit(5), y, tag, at))
+        cells.append(_cell(at, F.lit(str(6900 + i)), value, F.lit(20), y, tag, at + 2))
+    cells.append(_cell(F.lit(500), F.lit("8001"), F.lit("增值税专用发票"), F.lit(1), F.lit(90)))
+    cells.append(_cell(F.lit(510), F.lit("8002"), F.lit("叁佰圆整"), F.lit(1), F.lit(95)))
 
     def data(at: int, name: str, value: Column) -> Column:
         return _node("OFD.xml", 0, F.lit(at), F.lit(0), "CustomDatas", "CustomData", value,
@@ -389,9 +391,11 @@ def header_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = [_entry("OFD.xml", 0), _entry(TAG_ENTRY_NAME, 1), _entry(CONTENT_NAME, 2), _entry("Doc_0/Res/a.Jpg", 3),
                _entry("Doc_0/Res/b.png", 4)]
     nothing = (key % 3 == 2) & (key % 4 == 1)
-    cells = F.when(nothing, F.array(*entries)).when(
-        key % 3 == 1, F.array(*entries, *named)).otherwise(F.array(*entries, *named, *tagged))
-    return df.select("order_key", "rel_path", F.explode_outer(cells).alias("n")).select("order_key", "rel_path", "n.*")
+    tagged = df.filter(~nothing & (key % 3 != 1)).select("rel_path", F.explode_outer(F.array(*cells)).alias("cell"))
+    plain = df.select(
+        "rel_path", F.explode_outer(F.when(nothing, F.array(*entries)).otherwise(F.array(*entries, *named))).alias("n")
+    ).select("rel_path", "n.*")
+    return _cell_nodes(tagged).unionByName(plain)
 
 
 @F.pandas_udf(BinaryType())
