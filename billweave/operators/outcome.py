@@ -77,7 +77,11 @@ def mark_duplicates(results: DataFrame, seen: DataFrame | None = None) -> DataFr
     """
     winners = dedup_winners(results)
     if seen is not None:
-        winners = winners.join(seen, ["invoice_code", "invoice_number"], "left_anti")
+        keys = ["invoice_code", "invoice_number"]
+        # reduce the history to this batch's keys first: it is only scanned, not
+        # shuffled, as long as the keys of the batch are small enough to broadcast
+        known = seen.select(*keys).join(winners.select(*keys), keys, "left_semi")
+        winners = winners.join(known, keys, "left_anti")
     kept = winners.select("rel_path", F.lit(True).alias("_kept"))
     duplicate = dedup_eligible() & F.col("_kept").isNull()
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from billweave import fixed_values as fv
 from billweave.functions import normalize
-from billweave.operators import checks, fields, items, layout
+from billweave.operators import checks, fields, items, layout, tags
 from billweave.operators.outcome import is_success
 from billweave.plans import render
 from billweave.plans.catalog_sql import GOODS, ORDER_HEADERS, PARTIES
@@ -320,7 +320,34 @@ SELECT number, '[' || string_agg('{{"货物名称":"' || goods_name || '","规
 FROM goods GROUP BY number"""
 
 
+def scalar_helpers(spark: SparkSession, sf: str) -> DataFrame:
+    """Tolerant numbers, durations, boundaries and polygon centres of line items."""
+    l = render.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    key, q, price = F.col("l_partkey"), F.col("l_quantity"), F.col("l_extendedprice")
+    text = F.when(key % 5 == 0, "").when(key % 5 == 1, "n/a").otherwise(render.money(price).cast("string"))
+    x, y = tags.boundary_xy(F.concat_ws(" ", q.cast("string"), F.when(key % 3 == 0, "bad").otherwise(price.cast("string")), F.lit("1 1")))
+    corners = F.array(*[F.array(q + dx, price + dy) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    cx, cy = layout.polygon_centre(F.when(key % 4 != 0, corners))
+    return l.select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        normalize.number(text).cast("double").alias("amount"), normalize.duration_text(price).alias("duration"),
+        x.alias("x"), y.alias("y"), F.round(cx, 4).alias("centre_x"), F.round(cy, 4).alias("centre_y"))
+
+
+SCALARS_SQL = """
+SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice,
+  CASE l_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) END AS amount,
+  lpad(CAST(CAST(floor(floor(l_extendedprice) / 3600) AS BIGINT) AS VARCHAR), 2, '0') || ':' ||
+  lpad(CAST(CAST(floor((floor(l_extendedprice) % 3600) / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' ||
+  lpad(CAST(CAST(floor(l_extendedprice) % 60 AS BIGINT) AS VARCHAR), 2, '0') AS duration,
+  l_quantity AS x, CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_extendedprice END AS y,
+  CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE l_quantity END AS centre_x,
+  CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE round(l_extendedprice, 4) END AS centre_y
+FROM lineitem"""
+
+
 ENTRIES = {
+    "scalar_helpers": (scalar_helpers, SCALARS_SQL),
     "normalize_date": (normalize_date, """
         SELECT o_orderkey, CASE WHEN o_orderkey % 23 = 0 THEN strftime(o_orderdate, '%d-%m-%Y')
                ELSE strftime(o_orderdate, '%Y-%m-%d') END AS invoice_date FROM orders"""),

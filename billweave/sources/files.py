@@ -109,6 +109,12 @@ def scan_files(
     return checked.unionByName(rest)
 
 
+def in_path_order(df: DataFrame) -> DataFrame:
+    """Total order by relative path, by code point; a range partitioning and a
+    sort per partition."""
+    return df.orderBy("rel_path")
+
+
 def archive_content(spark: SparkSession, root: str, skip: list[str] | None = None) -> DataFrame:
     """``rel_path, content`` of the tagged archives only."""
     skip = fv.SKIP_DIRECTORIES if skip is None else skip

@@ -53,6 +53,7 @@ def test_scan(spark, folder):
     assert rows["发票004.OFD"].route == "ofd" and rows["发票001.pdf"].route == "ocr" and rows["readme.txt"].route == "unsupported"
     assert rows["readme.txt"].length == 1
     plain = files.scan_files(spark, folder)
+    assert [r.rel_path for r in files.in_path_order(plain).collect()] == sorted(rows)
     assert plain.filter("magic_valid is not null").count() == 0
     assert "content" not in plain._jdf.queryExecution().executedPlan().toString()
 
