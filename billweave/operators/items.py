@@ -66,19 +66,33 @@ def goods_area(df: DataFrame, text: str = "full_text") -> DataFrame:
 def goods_from_text(df: DataFrame, text: str = "full_text", out: str = "text_items") -> DataFrame:
     """Goods rows ``name [spec [unit [qty [price]]]] amount rate tax`` after the
     header. Lines that do not fit are passed over."""
-    row = jvm_regex(fv.GOODS_ROW)
-    blanks = jvm_regex(r"\s+")
-
-    def one(line: Column) -> Column:
-        part = {f: F.regexp_extract(line, row, i) for i, f in (
-            (1, "goods_name"), (2, "amount"), (3, "tax_rate"), (4, "tax_amount"))}
-        return goods_item(**part)
+    number = r"\p{Nd}+\.?\p{Nd}*"
+    whole, start = F.lit(f"(?d)^{number}$"), f"(?d)^({number})"
+
+    def by_tokens(token: Column) -> Column:
+        """The row pattern in terms of tokens: as many optional ones as fit are
+        skipped, then come a whole number, any token and a leading number."""
+        def skipping(n: int) -> Column:
+            fits = (
+                (F.size(token) > n + 3)
+                & F.rlike(F.get(token, F.lit(n + 1)), whole)
+                & F.rlike(F.get(token, F.lit(n + 3)), F.lit(start))
+            )
+            return F.when(fits, goods_item(
+                goods_name=F.get(token, F.lit(0)),
+                amount=F.get(token, F.lit(n + 1)),
+                tax_rate=F.get(token, F.lit(n + 2)),
+                tax_amount=F.regexp_extract(F.get(token, F.lit(n + 3)), start, 1),
+            ))
+
+        return F.coalesce(*[skipping(n) for n in range(fv.GOODS_OPTIONAL_TOKENS, -1, -1)])
 
-    # single blanks: the row pattern then has one way to place every token
-    lines = F.transform(
-        F.split(F.col("_area"), "\n"), lambda l: F.regexp_replace(strip(l), blanks, " ")
-    )
-    rows = F.transform(F.filter(lines, lambda l: F.rlike(l, F.lit(row))), one)
+    blanks = jvm_regex(r"\s+")
+    rows = F.filter(
+        F.transform(
+            F.split(F.col("_area"), "\n"),
+            lambda line: let(F.split(strip(line), blanks), by_tokens)),
+        lambda item: item.isNotNull())
     return goods_area(df, text).withColumn(out, F.coalesce(rows, no_goods())).drop("_area")
 
 
