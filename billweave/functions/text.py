@@ -11,14 +11,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# white space as str.strip() sees it; Java's (?U)\s lacks U+001C..U+001F
+# white space as str.strip() sees it; Java's (?U)\s lacks U+001C to U+001F
 BLANK_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
     + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "    　"
 )
-BLANK_CLASS = r"\s\x1c-\x1f"
-INLINE_BLANK = r"[\s\x1c-\x1f&&[^\n]]"
+# the same as regex class members, spelled out: cheaper than a Unicode property
+_WIDE_BLANKS = r"\x1c-\x20\x85\xa0  -     　"
+BLANK_CLASS = r"\t-\r" + _WIDE_BLANKS
+INLINE_BLANK = r"[\t\x0b-\r" + _WIDE_BLANKS + "]"
 
 _META = set("[](){}.*+?|^$\\")
 _QUANTIFIER = set("*?{")
@@ -56,11 +58,18 @@ def leading_literal(pattern: str) -> str:
     return text
 
 
+def literal_alternatives(pattern: str) -> tuple[str, ...]:
+    """The words of a pattern that is one group of plain words, else nothing."""
+    words = pattern[1:-1].split("|")
+    plain = pattern[:1] == "(" and pattern[-1:] == ")" and not any(set(w) & _META for w in words)
+    return tuple(words) if plain else ()
+
+
 def _guarded(text: Column, pattern: str, test: Column, needs: tuple[str, ...] = ()) -> Column:
     """Look for the literal bytes first: no decoding or regex scan without them."""
     if not needs:
         start = leading_literal(pattern)
-        needs = (start,) if start else ()
+        needs = (start,) if start else literal_alternatives(pattern)
     if not needs:
         return test
     present = reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needs])
@@ -112,13 +121,13 @@ def merge_label_lines(text: Column) -> Column:
 
     A line that ends in a label mark absorbs the next one, unless that one is a
     single character or starts with a mark. The replacement consumes the value
-    line, so merged lines do not chain.
+    line with its break, so merged lines do not chain. It starts at a break, which
+    is rare, and looks back for the mark.
     """
-    one_break = F.regexp_replace(
-        text, rf"(?Ud)(?<!{INLINE_BLANK}){INLINE_BLANK}*+\n[{BLANK_CLASS}]*+", "\n"
-    )
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
     return F.regexp_replace(
-        strip(one_break), r"(?Ud)([：:＝=，,])\n(?![：:＝=])([^\n]{2,})", "$1 $2"
+        F.array_join(lines, "\n"),
+        r"(?Ud)\n(?<=[：:＝=，,]\n)(?![：:＝=])([^\n]{2,})(\n|\z)", " $1$2",
     )
 
 

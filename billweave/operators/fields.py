@@ -35,8 +35,6 @@ def pattern_test(text: Column, pattern: str) -> Column:
         return matches(text, _AMOUNT, ("¥", "￥"))
     if pattern.startswith("[¥￥]"):
         return matches(text, pattern, ("¥", "￥"))
-    if pattern.startswith("(") and pattern.endswith("发票)"):
-        return matches(text, pattern, ("发票",))
     return matches(text, pattern)
 
 

@@ -52,6 +52,22 @@ def test_leading_literal():
     assert text.leading_literal(r"（小写）[^¥]*") == "（小写）"
 
 
+def test_literal_alternatives():
+    assert text.literal_alternatives("(a|bc)") == ("a", "bc")
+    assert text.literal_alternatives(r"(a|b+)") == () and text.literal_alternatives("a|b") == ()
+
+
+def test_every_blank_is_one_for_both(column):
+    import re
+
+    blanks = [chr(c) for c in range(0x10000) if chr(c).isspace()]
+    assert set(blanks) == set(text.BLANK_CHARS)
+    assert column(lambda c: F.rlike(c, F.lit(text.jvm_regex(r"^\s$"))), blanks) == [True] * len(blanks)
+    others = [chr(c) for c in range(1, 0xD800) if not chr(c).isspace()]
+    assert column(lambda c: F.rlike(c, F.lit(text.jvm_regex(r"\s"))), ["".join(others)]) == [False]
+    assert all(re.match(r"\s", b) for b in blanks)
+
+
 def brute_merge(raw: str) -> str:
     """Line by line: trimmed lines, each label line may take one value line."""
     lines = [l.strip() for l in raw.split("\n") if l.strip()]
