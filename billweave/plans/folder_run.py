@@ -11,7 +11,7 @@ from billweave.functions.text import missing
 from billweave.operators import assist, fields, items, layout, outcome, tags
 from billweave.operators.checks import with_remarks
 from billweave.plans.storage import Keep, keep_in, run_folder, stored, unstored
-from billweave.schemas import BLOCK_LIST, GOODS_LIST, HEADER_FIELDS
+from billweave.schemas import BLOCK_LIST, GOODS_LIST
 from billweave.sources import archives, files, sinks
 
 DOCUMENT_DEFAULTS = {

@@ -1,4 +1,3 @@
-from billweave import fixed_values as fv
 from billweave.operators import outcome, stats
 from billweave.operators.spread import with_ordinal
 from pyspark.sql import functions as F
