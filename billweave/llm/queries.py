@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.llm.bpe import encode_decode
+from billweave.llm.decontamination import contamination
+from billweave.llm.fingerprints import edited_fingerprints
 from billweave.llm.line_dedup import line_dedup
 from billweave.llm.tables import table
 from billweave.llm.url_rules import judge_urls
@@ -18,6 +20,13 @@ URL_RULES = [
 ]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
@@ -29,6 +38,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated")
+
+
 def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
@@ -40,8 +56,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_bpe": op2_bpe,
     "op4_line_dedup": op4_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_warc_packages": op8_warc_packages,
     "op10_url_rules": op10_url_rules,
 }
@@ -93,3 +111,31 @@ fits AS (
 SELECT h.page_id, h.host, h.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM hosts h LEFT JOIN fits f ON h.page_id = f.page_id
 """
+
+CHECK_SQL["op7_decontamination"] = r"""
+WITH doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+sized AS (SELECT item, w, least(len(w), 13) AS size FROM item_words WHERE len(w) > 0),
+grams AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sized)),
+sizes AS (SELECT DISTINCT size FROM grams),
+windows AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc_words, sizes WHERE len(w) >= size)),
+hits AS (SELECT doc_id, i, h.size, item FROM windows h JOIN grams g ON h.gram = g.gram AND h.size = g.size),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
