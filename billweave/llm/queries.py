@@ -10,6 +10,7 @@ from billweave.llm.bpe import encode_decode
 from billweave.llm.decontamination import contamination
 from billweave.llm.fingerprints import edited_fingerprints
 from billweave.llm.line_dedup import line_dedup
+from billweave.llm.near_dup import near_duplicates
 from billweave.llm.tables import table
 from billweave.llm.url_rules import judge_urls
 from billweave.llm.warc_zip import archive_round_trip
@@ -49,6 +50,11 @@ def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, numerator=85, denominator=100)
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -61,6 +67,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_warc_packages": op8_warc_packages,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_url_rules": op10_url_rules,
 }
 
@@ -139,3 +146,27 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc_words d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+CHECK_SQL["op9_near_duplicates"] = r"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc_words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+least AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(b, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least l ON d.doc_id = l.doc_id
+"""
