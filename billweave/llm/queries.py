@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from billweave.llm.bpe import encode_decode
 from billweave.llm.decontamination import contamination
 from billweave.llm.fingerprints import edited_fingerprints
+from billweave.llm.html_text import page_texts
 from billweave.llm.line_dedup import line_dedup
 from billweave.llm.near_dup import near_duplicates
+from billweave.llm.quality import quality_scores
 from billweave.llm.tables import table
+from billweave.llm.toxicity import toxicity_scores
 from billweave.llm.url_rules import judge_urls
 from billweave.llm.warc_zip import archive_round_trip
 
@@ -33,12 +36,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_docs=10, min_chars=1).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, table(spark, sf_dir, "labels"), threshold=0.3).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, table(spark, sf_dir, "labels"), threshold=0.5, with_sentences=False).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, table(spark, sf_dir, "benchmark")).select(
@@ -64,7 +83,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_bpe": op2_bpe,
+    "op3_html_text": op3_html_text,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_warc_packages": op8_warc_packages,
     "op9_near_duplicates": op9_near_duplicates,
