@@ -196,7 +196,7 @@ def sharded_hits(df: DataFrame, index: DataFrame, text: str, min_docs: int, min_
     most = keys.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     parts = max(1, -(-most // rows))
     keys = keys.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts)))
-    spread = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    spread = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def probe(rows: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
         if not len(shards) or not len(rows):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,9 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="billweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return own_folder(spark.sparkContext.applicationId)
+
+
+@functools.lru_cache
+def own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"billweave-{application}-")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

@@ -56,9 +56,9 @@ class ZipRanges:
         """Name -> (method, size, offset of the local header)."""
         tail_size = min(self.size, END_SIZE + FULL16 + LOCATOR64_SIZE)
         tail = self._at(self.size - tail_size, tail_size)
-        at = tail.rfind(END)
+        at = tail.rfind(END, 0, max(0, tail_size - END_SIZE + len(END)))
         while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-            at = tail.rfind(END, 0, at)
+            at = tail.rfind(END, 0, at + len(END) - 1)
         if at < 0:
             raise ValueError("no end of a central directory")
         number, length, offset = struct.unpack_from("<HII", tail, at + 10)
