@@ -16,7 +16,7 @@ from billweave.llm.decontamination import let, lower_ascii
 from billweave.llm.tables import without
 
 SHINGLE = 5
-BINS, BIN_BITS, BITS = 256, 8, 4
+BINS, BIN_BITS, BITS = 512, 9, 4
 VALUE_BITS = 63 - BIN_BITS
 EMPTY = (1 << VALUE_BITS) - 1
 DRAWS = 12
@@ -64,7 +64,7 @@ def draws() -> Column:
     state, out = 0x9E3779B97F4A7C15, []
     for _ in range(BINS * DRAWS):
         state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        out.append(state >> 56)
+        out.append(state >> (64 - BIN_BITS))
     return numbers(out, "int")
 
 

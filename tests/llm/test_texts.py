@@ -88,7 +88,7 @@ def test_fingerprints_of_odd_tables(spark):
     assert edited_rows(spark, [(5, "only one here")])[5].edited == "only on" + "only o"
     df = spark.createDataFrame([(1, "a b c", "x")] * 3, SCHEMA + ", Fingerprint string")
     rows = fingerprints.fingerprints(df).collect()
-    assert len({r.fingerprint for r in rows}) == 1 and len(rows) == 3 and len(rows[0].fingerprint) == 256
+    assert len({r.fingerprint for r in rows}) == 1 and len(rows) == 3 and len(rows[0].fingerprint) == 512
 
 
 def test_next_row_over_many_ranges(spark):
