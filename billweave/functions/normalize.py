@@ -13,7 +13,7 @@ from billweave.functions.text import jvm_regex, strip
 WIDE = "".join(chr(c) for c in [*range(0xFF21, 0xFF3B), *range(0xFF10, 0xFF1A)])
 NARROW = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
 
-AMOUNT = "decimal(20,6)"
+AMOUNT = "decimal(38,6)"
 TOTAL = "decimal(38,6)"
 
 

@@ -66,14 +66,21 @@ def parse_answer(answer: Column, wanted: Column) -> Column:
 def parse_answers(answers: DataFrame) -> DataFrame:
     """``rel_path, field, value`` from ``rel_path, wanted, answer_text`` rows."""
     found = parse_answer(F.col("answer_text"), F.col("wanted"))
-    return answers.select("rel_path", F.inline_outer(found)).filter(F.col("field").isNotNull())
+    number = [c for c in ("answer_no",) if c in answers.columns]
+    return answers.select("rel_path", *number, F.inline_outer(found)).filter(F.col("field").isNotNull())
 
 
 def merge_answers(df: DataFrame, answers: DataFrame, options: Options = Options()) -> DataFrame:
-    """Fill empty fields from non-empty answers and note each of them."""
+    """Fill empty fields from non-empty answers and note each of them.
+
+    Of several answers for one field the one with the greatest ``answer_no`` counts; without
+    that column, or with equal numbers, the greatest text.
+    """
     useful = answers.filter((F.col("value") != "") & (F.col("value") != fv.ASSIST_UNSURE))
+    number = F.col("answer_no") if "answer_no" in answers.columns else F.lit(0)
+    last = F.struct(number.alias("n"), F.col("value").alias("value"))
     wide = useful.groupBy("rel_path").agg(*[
-        F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_a_{f}") for f in FIELDS])
+        F.max(F.when(F.col("field") == f, last))["value"].alias(f"_a_{f}") for f in FIELDS])
     joined = df.join(wide, "rel_path", "left")
     taken = {f: missing(F.col(f)) & F.col(f"_a_{f}").isNotNull() for f in FIELDS}
     notes = F.array_compact(F.array(*[
@@ -86,6 +93,7 @@ def merge_answers(df: DataFrame, answers: DataFrame, options: Options = Options(
 
 def assisted(df: DataFrame, provider: Provider, options: Options = Options()) -> DataFrame:
     """Requests to a provider, a function from the request table to
-    ``rel_path, field, answer_text`` rows, and its answers back into the rows."""
+    ``rel_path, field, answer_text`` rows (and ``answer_no``, if a field can have several), and
+    its answers back into the rows."""
     answers = provider(requests(df, options)).withColumn("wanted", F.array("field"))
     return merge_answers(df, parse_answers(answers), options)

@@ -46,8 +46,8 @@ def item_sums(items: DataFrame, *keys: str) -> DataFrame:
     of a key are combined in a hash map before the shuffle."""
     amount, tax = number(F.col("amount")), number(F.col("tax_amount"))
     return items.groupBy(*keys).agg(
-        F.sum(amount).cast(TOTAL).alias("amount_sum"),
-        F.sum(tax).cast(TOTAL).alias("tax_sum"),
+        F.try_sum(amount).cast(TOTAL).alias("amount_sum"),
+        F.try_sum(tax).cast(TOTAL).alias("tax_sum"),
         F.bool_and(amount.isNotNull()).alias("amounts_ok"),
         F.bool_and(tax.isNotNull()).alias("taxes_ok"),
     )

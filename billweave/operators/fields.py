@@ -177,7 +177,7 @@ def fill_from_sections(df: DataFrame, text: str = "full_text") -> DataFrame:
 def companies_above_tax_ids(
     df: DataFrame, text: str, buyer_tax_id: str, seller_tax_id: str
 ) -> DataFrame:
-    """Party names as the nearest company line above a line with the tax id.
+    """Empty party names from the nearest company line above a line with the tax id.
 
     One pass over the lines of a document. The state keeps the nearest company
     line and the nearest one that differs from it, as the seller has to differ
@@ -205,7 +205,9 @@ def companies_above_tax_ids(
             seller.alias("seller"),
         )
 
-    empty = F.struct(*[F.lit("").alias(n) for n in ("near", "other", "buyer", "seller")])
+    known = {"buyer": "buyer_name", "seller": "seller_name"}
+    empty = F.struct(F.lit("").alias("near"), F.lit("").alias("other"), *[
+        (F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")).alias(n) for n, c in known.items()])
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), strip), lambda l: l != "")
     return (
         df.withColumn("_found", F.aggregate(lines, empty.cast(state), step))

@@ -53,13 +53,15 @@ def goods_area(df: DataFrame, text: str = "full_text") -> DataFrame:
     """Adds ``_area``: the text behind the goods header line up to the first
     blank line or line that starts with a stop character; null without header."""
     header = F.split(F.col(text), jvm_regex(fv.GOODS_HEADER), 2)
+    # a split has no match of length zero at the start, so the stop takes the line end before it
     stop = (
-        rf"(?Udm)^{INLINE_BLANK}*+(?:$|[{fv.GOODS_STOP_FIRST_CHARS}])"
+        rf"(?Udm)\n{INLINE_BLANK}*+(?:$|[{fv.GOODS_STOP_FIRST_CHARS}])"
     )
     return (
         df.withColumn("_area", F.when(F.contains(F.col(text), F.lit("名称")), header))
         .withColumn("_area", F.when(F.size("_area") > 1, after_first_line(F.col("_area")[1])))
-        .withColumn("_area", F.split("_area", stop, 2)[0])
+        .withColumn("_area", F.split(F.concat(F.lit("\n"), "_area"), stop, 2)[0])
+        .withColumn("_area", F.substring("_area", F.lit(2), F.char_length("_area")))
     )
 
 
@@ -165,7 +167,7 @@ def list_totals(items: Column) -> tuple[Column, Column]:
     def total(field: str) -> Column:
         return F.aggregate(
             items, F.lit(0).cast(TOTAL),
-            lambda acc, it: (acc + number_or_zero(it[field])).cast(TOTAL),
+            lambda acc, it: F.try_add(acc, number_or_zero(it[field])).cast(TOTAL),
         )
 
     return total("amount"), total("tax_amount")

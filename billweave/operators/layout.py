@@ -146,26 +146,34 @@ def embedded_documents(spans: DataFrame) -> DataFrame:
         "rel_path", F.array_join("lines", "\n").alias("full_text"), "blocks")
 
 
-def recognised_documents(blocks: DataFrame, first_page_only: bool = True) -> DataFrame:
+def first_pages(blocks: DataFrame) -> DataFrame:
+    """Blocks of the first page of every document."""
+    return blocks.filter(F.col("page") == 0)
+
+
+def recognised_documents(blocks: DataFrame) -> DataFrame:
     """``rel_path, full_text, confidence, blocks`` from recognised blocks, in
-    reading order: 10-unit bands from the top, left to right."""
-    if first_page_only:
-        blocks = blocks.filter(F.col("page") == 0)
+    reading order: page by page, 10-unit bands from the top, left to right. Every page
+    has its own split line."""
     x, y = polygon_centre(F.col("bbox"))
     size = fv.BLOCK_ORDER_BUCKET
     placed = blocks.select("rel_path", "page", "seq", "text", "confidence", x.alias("x"), y.alias("y"))
     row = F.struct(
-        (F.rint(F.col("y") / size) * size).alias("band"), "x", "page", "seq", "text", "y")
-    grouped = placed.groupBy("rel_path").agg(
+        (F.rint(F.col("y") / size) * size).alias("band"), "x", "seq", "text", "y")
+    by_page = placed.groupBy("rel_path", "page").agg(
         F.sort_array(F.collect_list(row)).alias("_rows"),
-        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"),
+        F.sum("confidence").alias("_sum"), F.count("confidence").alias("_n"),
         split_line(F.min("x"), F.max("x")).alias("x_mid"),
     )
     sided = F.transform(F.col("_rows"), lambda r: _block(
         r["text"], r["y"], r["x"], side_of(r["x"], F.col("x_mid"))))
+    page = F.struct("page", sided.alias("blocks"))
+    grouped = by_page.groupBy("rel_path").agg(
+        F.flatten(F.sort_array(F.collect_list(page))["blocks"]).alias("blocks"),
+        F.coalesce(F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0)), F.lit(0.0)).alias("confidence"))
     return grouped.select(
-        "rel_path", F.array_join(_texts(F.col("_rows")), "\n").alias("full_text"),
-        "confidence", sided.alias("blocks"))
+        "rel_path", F.array_join(_texts(F.col("blocks")), "\n").alias("full_text"),
+        "confidence", "blocks")
 
 
 def with_column_texts(df: DataFrame, blocks: str = "blocks") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,44 +57,53 @@ def duplicate_message() -> Column:
     return F.concat(F.lit(a), F.col("invoice_code"), F.lit(b), F.col("invoice_number"), F.lit(c))
 
 
-def dedup_winners(results: DataFrame) -> DataFrame:
-    """One row per business key with the ``rel_path`` that stays: tagged archives
-    first, then path order. A key with a third of all rows shrinks to one row per
-    map task before the shuffle."""
+BUSINESS_KEY = ["invoice_code", "invoice_number"]
+
+
+def business_keys(results: DataFrame) -> DataFrame:
+    """One row per business key: how often it occurs, and the ``rel_path`` that stays, tagged archives
+    first, then path order. A key with a third of all rows shrinks to one row per map
+    task before the shuffle."""
     order = F.struct((F.col("file_type") != "ofd").alias("late"), F.col("rel_path"))
     return (
-        results.filter(dedup_eligible())
-        .groupBy("invoice_code", "invoice_number")
-        .agg(F.min(order).alias("_first"))
-        .select("invoice_code", "invoice_number", F.col("_first.rel_path").alias("rel_path"))
+        results.filter(dedup_eligible()).groupBy(*BUSINESS_KEY)
+        .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .select(*BUSINESS_KEY, F.col("_first.rel_path").alias("_first_path"), "_n")
     )
 
 
 def mark_duplicates(results: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Mark, never drop, later copies of a business key.
 
-    Winners go back to the rows over the unique ``rel_path``, not over the
-    business key, so a hot key does not end up in one task. ``seen`` holds keys
-    accepted before, one row each.
+    Only keys with copies, one row each, are joined with the rows. That side is small where copies
+    are rare and then Spark broadcasts it; else the join is on the key, whose skewed
+    partitions are split at run time. ``seen`` holds keys accepted before; all rows with one of them
+    are copies.
     """
-    winners = dedup_winners(results)
-    if seen is not None:
-        keys = ["invoice_code", "invoice_number"]
-        # reduce the history to this batch's keys first: it is only scanned, not
-        # shuffled, as long as the keys of the batch are small enough to broadcast
-        known = seen.select(*keys).join(winners.select(*keys), keys, "left_semi")
-        winners = winners.join(known, keys, "left_anti")
-    kept = winners.select("rel_path", F.lit(True).alias("_kept"))
-    duplicate = dedup_eligible() & F.col("_kept").isNull()
+    def same(a: DataFrame, b: DataFrame, names: dict[str, str]) -> Column:
+        return functools.reduce(Column.__and__, [a[x].eqNullSafe(b[y]) for x, y in names.items()])
+
+    keys = business_keys(results)
+    if seen is None:
+        keys = keys.withColumn("_known", F.lit(False))
+    else:
+        known = seen.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(BUSINESS_KEY)])
+        old = keys.join(known, same(keys, known, {k: f"_s{i}" for i, k in enumerate(BUSINESS_KEY)}), "left_semi")
+        new = keys.join(known, same(keys, known, {k: f"_s{i}" for i, k in enumerate(BUSINESS_KEY)}), "left_anti")
+        keys = old.withColumn("_known", F.lit(True)).unionByName(new.withColumn("_known", F.lit(False)))
+    copies = keys.filter((F.col("_n") > 1) | F.col("_known")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(BUSINESS_KEY)], "_first_path", "_known")
+    joined = results.join(copies, same(results, copies, {k: f"_k{i}" for i, k in enumerate(BUSINESS_KEY)}), "left")
+    later = F.col("_known") | (F.col("_first_path") != F.col("rel_path"))
+    duplicate = dedup_eligible() & F.coalesce(later, F.lit(False))
     return (
-        results.join(kept, "rel_path", "left")
-        .withColumn("is_dedup", duplicate)
+        joined.withColumn("is_dedup", duplicate)
         .withColumns({
             "status": F.when(F.col("is_dedup"), F.lit(fv.SKIPPED)).otherwise(F.col("status")),
             "error_message": F.when(F.col("is_dedup"), duplicate_message()).otherwise(
                 F.col("error_message")),
         })
-        .drop("_kept")
+        .drop("_first_path", "_known", *[f"_k{i}" for i in range(len(BUSINESS_KEY))])
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from billweave import fixed_values as fv
@@ -41,16 +41,21 @@ SELECT doc_id, rel_path,
 FROM n"""
 
 
-def scan_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The table folder itself as scanned files, header check on."""
-    return files.scan_files(spark, sf, check_magic=True).select(
-        "rel_path", "ext", "file_type", "magic_valid", (F.col("length") > 0).alias("has_bytes"))
+def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written as text files, one folder for each source, and listed again: bytes of
+    each folder's text files. Marker and checksum files are listed too and left out here."""
+    folder = run_folder(spark)
+    docs = render.table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.partitionBy("source").text(f"{folder}/files")
+    listed = files.scan_files(spark, f"{folder}/files", folder=f"{folder}/scan").filter("ext = '.txt'")
+    return listed.groupBy(F.substring_index("rel_path", "/", 1).alias("folder"), "file_type").agg(
+        F.sum("length").alias("n_bytes"))
 
 
 SCAN_SQL = """
-SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
-               'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS rel_path,
-       '.parquet' AS ext, 'unsupported' AS file_type, CAST(NULL AS BOOLEAN) AS magic_valid, true AS has_bytes"""
+SELECT 'source=' || source AS folder, 'unsupported' AS file_type,
+       CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes
+FROM documents GROUP BY source"""
 
 
 def admission_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,16 +239,17 @@ FROM goods"""
 
 def assist_queue(spark: SparkSession, sf: str) -> DataFrame:
     extracted = stored(extract(render.header_documents(spark, sf)), run_folder(spark), "extracted")
-    queue = assist.requests(extracted)
+    queue = assist.requests(extracted).join(extracted.select("rel_path", "full_text"), "rel_path")
     return queue.select(
         "rel_path", "field", F.right("request_text", F.char_length("field") + 1).alias("ending"),
-        F.char_length("system_text").cast("bigint").alias("n_system"))
+        F.contains("request_text", F.left("full_text", F.lit(3000))).alias("has_context"),
+        F.md5(F.encode("system_text", "UTF-8")).alias("system_md5"))
 
 
 QUEUE_SQL = f"""WITH {ORDER_HEADERS},
-low AS (SELECT * FROM headers WHERE order_key % 4 >= 2)
-SELECT rel_path, 'total_amount_cn' AS field, 'total_amount_cn=' AS ending, CAST({len(fv.ASSIST_SYSTEM_TEXT)} AS BIGINT) AS n_system FROM low
-UNION ALL SELECT rel_path, 'invoice_number', 'invoice_number=', {len(fv.ASSIST_SYSTEM_TEXT)} FROM low WHERE order_key % 11 = 0"""
+low AS (SELECT *, md5('{fv.ASSIST_SYSTEM_TEXT}') AS system_md5, true AS has_context FROM headers WHERE order_key % 4 >= 2)
+SELECT rel_path, 'total_amount_cn' AS field, 'total_amount_cn=' AS ending, has_context, system_md5 FROM low
+UNION ALL SELECT rel_path, 'invoice_number', 'invoice_number=', has_context, system_md5 FROM low WHERE order_key % 11 = 0"""
 
 
 def assist_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -318,34 +324,50 @@ FROM c"""
 
 
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders arrive in four files; every file is a batch that is decided against
-    the keys accepted before."""
+    """Orders arrive in four rounds, by the key's remainder, for two jobs in turn; every round is
+    decided against the keys accepted before by either job."""
     folder = run_folder(spark)
     orders = render.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    orders.repartition(4, "o_custkey").write.parquet(f"{folder}/arrivals")
-    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
 
     def process(batch: DataFrame) -> DataFrame:
         return process_documents(render.header_documents(spark, sf, batch)).drop("line_items")
 
-    query = ingest.start_ingest(stream, process, f"{folder}/results", f"{folder}/offsets", job_id="j1")
-    query.awaitTermination()
-    table = spark.read.parquet(f"{folder}/results")
-    keys = F.count_distinct(F.when(F.col("has_invoice"), F.struct("invoice_code", "invoice_number")))
-    return table.agg(
-        F.count_distinct("batch_id").alias("n_batches"), F.count_distinct("rel_path").alias("n_files"),
-        F.count_if(F.col("status") == fv.SUCCESS).alias("n_success"), F.count_if(F.col("status") == fv.FAILED).alias("n_failed"),
-        F.count_if(F.col("is_dedup")).alias("n_duplicates"), keys.alias("n_keys"))
+    for number in range(4):
+        job = f"j{number % 2}"
+        orders.filter(F.col("o_orderkey") % 4 == number).write.mode("append").parquet(f"{folder}/arrivals-{job}")
+        stream = spark.readStream.schema(orders.schema).parquet(f"{folder}/arrivals-{job}")
+        ingest.start_ingest(
+            stream, process, f"{folder}/results", f"{folder}/offsets-{job}", job_id=job).awaitTermination()
+    return spark.read.parquet(f"{folder}/results").select("rel_path", "job_id", "status", "is_dedup")
+
+
+INGEST_SQL = f"""WITH {RESULTS_SQL},
+arrived AS (
+  SELECT rel_path, order_key, has_invoice, has_invoice AND row_number() OVER (
+           PARTITION BY has_invoice, code, number ORDER BY order_key % 4, file_type <> 'ofd', rel_path) > 1 AS copy
+  FROM decided)
+SELECT rel_path, 'j' || order_key % 2 AS job_id,
+       CASE WHEN NOT has_invoice THEN 'failed' WHEN copy THEN 'skipped' ELSE 'success' END AS status, copy AS is_dedup
+FROM arrived"""
+
+
+def path_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every page file in path order, by range partitions and positions inside them."""
+    listed = files.in_path_order(render.page_files(spark, sf).select("rel_path"))
+    placed = listed.withColumn("_part", F.spark_partition_id())
+    kept = stored(placed.withColumn("_at", F.monotonically_increasing_id()), run_folder(spark), "ordered")
+    counts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = counts.select("_part", "_low", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return kept.join(offsets, "_part").select(
+        "rel_path", (F.col("_before") + F.col("_at") - F.col("_low")).alias("place"))
 
 
-INGEST_SQL = f"""WITH {RESULTS_SQL}
-SELECT 4 AS n_batches, count(*) AS n_files, count(*) FILTER (status = 'success') AS n_success, count(*) FILTER (status = 'failed') AS n_failed,
-       count(*) FILTER (is_dedup) AS n_duplicates, count(DISTINCT (code, number)) FILTER (has_invoice) AS n_keys
-FROM results"""
+PATH_ORDER_SQL = f"""SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS place FROM ({PAGES_SQL})"""
 
 
 ENTRIES = {
-    "scan_tables": (scan_tables, SCAN_SQL),
+    "scan_documents": (scan_documents, SCAN_SQL),
     "classify_route": (classify_route, CLASSIFY_SQL),
     "admission_check": (admission_check, ADMISSION_SQL),
     "magic_check": (magic_check, MAGIC_SQL),
@@ -368,4 +390,5 @@ ENTRIES = {
     "assist_merge": (assist_merge, MERGE_SQL),
     "job_status": (job_status, JOB_SQL),
     "incremental_ingest": (incremental_ingest, INGEST_SQL),
+    "path_order": (path_order, PATH_ORDER_SQL),
 }

@@ -186,14 +186,20 @@ def taxid_company_asof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def goods_lines_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = items.goods_from_text(render.goods_documents(spark, sf), out="line_items")
+    """Goods rows of every sheet; in some an empty line right behind the header, or one behind the
+    first row, ends the list."""
+    sheets, key = render.goods_documents(spark, sf), F.col("order_key") % 10
+    gap = F.when(key == 3, F.replace(F.col("full_text"), F.lit("（见清单）"), F.lit("\n（见清单）"))).when(
+        key == 7, F.regexp_replace("full_text", "(（见清单）\n[^\n]*\n)", "$1\n"))
+    docs = items.goods_from_text(
+        sheets.withColumn("full_text", F.coalesce(gap, F.col("full_text"))), out="line_items")
     return items.explode_goods(docs, "number").select(
         "number", F.col("item_no").cast("bigint").alias("item_no"), "goods_name", "amount", "tax_rate", "tax_amount")
 
 
 GOODS_SQL = f"""WITH {GOODS}
 SELECT number, item_no, goods_name, CAST(amount AS VARCHAR) AS amount, tax_rate, CAST(tax_amount AS VARCHAR) AS tax_amount
-FROM goods"""
+FROM goods WHERE order_key % 10 <> 3 AND (order_key % 10 <> 7 OR item_no = 1)"""
 
 
 def goods_lines_blocks(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from billweave.functions.text import missing
 from billweave.operators import assist, fields, items, layout, outcome, tags
 from billweave.operators.checks import with_remarks
 from billweave.plans.storage import Keep, keep_in, run_folder, stored, unstored
-from billweave.schemas import BLOCK_LIST, GOODS_LIST
+from billweave.schemas import BLOCK_LIST, GOODS_LIST, RECOGNISED
 from billweave.sources import archives, files, sinks
 
 DOCUMENT_DEFAULTS = {
@@ -43,8 +45,10 @@ def extract(docs: DataFrame, options: Options = Options()) -> DataFrame:
         for c in tag_columns
     }).drop(*tag_columns)
     docs = fields.fill_from_patterns(fields.with_header_fields(docs), options=options)
-    docs = layout.with_column_texts(docs).withColumn(
-        "_section_text", F.when(~tagged, F.col("full_text")))
+    docs = layout.with_column_texts(docs).withColumns({
+        "has_side": ~tagged & F.col("has_side"),
+        "_section_text": F.when(~tagged, F.col("full_text")),
+    })
     docs = fields.fill_from_sections(docs, "_section_text").drop(
         "_section_text", "has_side", "left_text", "right_text")
     return items.with_goods(docs).withColumn(
@@ -83,23 +87,45 @@ def outcomes(
     Files of an invoice type without a document row have no text and fail.
     """
     known = listing.filter(F.col("file_type") != fv.UNSUPPORTED)
-    docs = known.join(documents, "rel_path", "left").withColumn(
-        "source", F.coalesce("source", F.when(
-            F.col("file_type") == "ofd", F.lit(fv.SOURCE_TAGGED)).otherwise(F.lit(fv.SOURCE_TEXT))))
+    archive = F.col("file_type") == "ofd"
+    unread = F.when(F.col("source").isNull() & ~archive, F.array(F.lit(fv.MSG_NO_RECOGNITION)))
+    given = F.col("parse_errors") if "parse_errors" in documents.columns else F.lit(None).cast("array<string>")
+    docs = known.join(documents, "rel_path", "left").withColumn("parse_errors", F.coalesce(unread, given)).withColumn(
+        "source", F.coalesce("source", F.when(archive, F.lit(fv.SOURCE_TAGGED)).otherwise(F.lit(fv.SOURCE_TEXT))))
     done = process_documents(docs, options, provider, keep)
     results = done.unionByName(outcome.skipped_files(listing), allowMissingColumns=True)
     return results.withColumn("elapsed_seconds", F.lit(0.0))
 
 
+def with_mapped_fields(docs: DataFrame, nodes: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """Fill tagged fields that are empty from a user's table of field -> path; an archive with such a
+    value is not sent to the fallback."""
+    mapped = tags.wide_fields(tags.mapped_fields(nodes, paths), list(paths), prefix="_m_")
+    joined = docs.join(mapped.withColumn("_mapped", F.lit(True)), "rel_path", "left")
+    for field in paths:
+        held = F.nullif(F.col(f"tag_{field}"), F.lit("")) if f"tag_{field}" in docs.columns else F.lit(None)
+        joined = joined.withColumn(f"tag_{field}", F.coalesce(held, F.col(f"_m_{field}")))
+    hit = F.col("_mapped").isNotNull() & (F.col("source") == fv.SOURCE_FALLBACK)
+    return joined.withColumns({
+        "source": F.when(hit, F.lit(fv.SOURCE_TAGGED)).otherwise(F.col("source")),
+        "fallback_entry": F.when(~hit, F.col("fallback_entry")),
+        "parse_errors": F.when(hit, F.array().cast("array<string>")).otherwise(F.col("parse_errors")),
+    }).drop("_mapped", *[f"_m_{f}" for f in paths])
+
+
 def read_documents(
-    spark: SparkSession, root: str, folder: str, spans: DataFrame | None,
-    recognised: DataFrame | None, options: Options,
+    root: str, listing: DataFrame, folder: str, spans: DataFrame | None,
+    recognised: DataFrame | None, options: Options, parser: archives.Parser | None = None,
+    entries: tuple[str, ...] = archives.DEFAULT_ENTRIES, paths: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Document rows of a folder: archives shredded from their bytes, other files
+    """Document rows of a listing: archives shredded by ranges, other files
     from the span and block tables of an external reader."""
-    nodes = stored(archives.shred_archives(files.archive_content(spark, root)), folder, "nodes")
-    listing = nodes.select("rel_path").distinct()
-    docs = tags.tagged_documents(listing, nodes, options.fallback, keep_in(folder))
+    nodes = stored(tags.with_kind(
+        archives.shred_archives(files.archive_files(listing), parser, root, entries)), folder, "nodes", by="kind")
+    docs = tags.tagged_documents(nodes.select("rel_path").distinct(), nodes, options.fallback, keep_in(folder))
+    if paths:
+        docs = with_mapped_fields(docs, nodes, paths)
+    docs = stored(docs, folder, "tagged")
     if recognised is not None:
         # blocks read from the first image of a fallback archive are keyed by path and entry
         images = recognised.filter(F.col("entry").isNotNull())
@@ -116,12 +142,10 @@ def read_documents(
             ).otherwise(F.array().cast("array<string>")),
         }).drop("_r_full_text", "_r_confidence", "_r_blocks")
     others = []
-    if spans is not None and recognised is not None:
-        others.append(layout.choose_text(
-            layout.embedded_documents(spans),
-            layout.recognised_documents(recognised.filter(F.col("entry").isNull()))))
-    elif spans is not None:
-        others.append(layout.embedded_documents(spans).withColumn("confidence", F.lit(1.0)))
+    if spans is not None:
+        plain = (docs.sparkSession.createDataFrame([], RECOGNISED) if recognised is None
+                 else recognised.filter(F.col("entry").isNull()))
+        others.append(layout.choose_text(layout.embedded_documents(spans), layout.recognised_documents(plain)))
     elif recognised is not None:
         others.append(layout.recognised_documents(recognised.filter(F.col("entry").isNull())))
     for other in others:
@@ -133,15 +157,29 @@ def read_documents(
 def run_folder_to_tables(
     spark: SparkSession, root: str, output: str, spans: DataFrame | None = None,
     recognised: DataFrame | None = None, options: Options = Options(),
-    provider: assist.Provider | None = None, folder: str | None = None,
+    provider: assist.Provider | None = None, folder: str | None = None, parser: archives.Parser | None = None,
+    entries: tuple[str, ...] = archives.DEFAULT_ENTRIES, paths: dict[str, str] | None = None,
 ) -> DataFrame:
     """Scan, extract, mark duplicates and write every output; returns the stored
-    outcome table. ``recognised`` carries an ``entry`` column, null for plain files."""
-    folder = folder or run_folder(spark)
-    listing = files.scan_files(spark, root)
-    documents = stored(read_documents(spark, root, folder, spans, recognised, options), folder, "documents")
+    outcome table. ``recognised`` carries an ``entry`` column, null for plain files.
+
+    ``parser`` replaces the shredder of archives, ``entries`` names the XML entries it reads, and
+    ``paths`` is a table of field -> ``//Parent/Tag`` for archives of flat XML. Each
+    document counts with its share of the time that reading and deciding took, as documents
+    of a task are worked on together.
+    """
+    folder, began = folder or run_folder(spark), time.monotonic()
+    listing = stored(files.scan_files(spark, root, folder=f"{folder}/scan"), folder, "listing")
+    read_from = time.monotonic()
+    documents = stored(read_documents(
+        root, listing, folder, spans, recognised, options, parser, entries, paths), folder, "documents")
     decided = stored(outcomes(listing, documents, options, provider, keep_in(folder)), folder, "decided")
+    spent = time.monotonic() - read_from
+    invoices = decided.filter(F.col("file_type") != fv.UNSUPPORTED).count()
+    share = F.when(F.col("file_type") != fv.UNSUPPORTED, F.lit(spent / max(1, invoices))).otherwise(F.lit(0.0))
+    decided = decided.withColumn("elapsed_seconds", share)
     if options.dedup:
-        decided = stored(outcome.mark_duplicates(decided), folder, "results")
-    sinks.write_outputs(decided, output)
+        decided = outcome.mark_duplicates(decided)
+    decided = stored(decided, folder, "results")
+    sinks.write_outputs(decided, output, F.lit(time.monotonic() - began))
     return decided

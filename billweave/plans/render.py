@@ -30,13 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer splits than cores go round all of them, as the
-    text work behind it is bound by the processor. Larger scans stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
-
-
 def padded(value: Column, width: int) -> Column:
     return F.lpad(value.cast("string"), width, "0")
 
@@ -67,8 +60,7 @@ def order_headers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = N
     base = F.when((key % 13 == 0) & (key > 0), key - 1).otherwise(key)
     total = money(F.col("o_totalprice"))
     if orders is None:
-        orders = spread(table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -189,7 +181,7 @@ PARTY_TEXT = {
 
 def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both parties of every order: the customer and a supplier by key."""
-    headers = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    headers = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     df = headers.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
@@ -214,7 +206,7 @@ def party_lines(prefix: str, glue: str = "") -> list[Column]:
 def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document as a positioned span: 8 words to a line, 400
     to a page, lines 12 units apart with a jitter of up to 2."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.filter(F.split("text", "[ \\n\\t\\r]+"), lambda w: w != "")
     spans = docs.select("doc_id", F.posexplode_outer(words).alias("i", "text")).filter(F.col("i").isNotNull())
     i = F.col("i")
@@ -284,7 +276,8 @@ CONTENT_NAME = "Doc_0/Pages/Page_0/Content.xml"
 
 
 def _node(entry: str, entry_no: int, node_no: Column, parent_no: Column, parent_tag, tag: str,
-          text: Column, attrs: Column | None = None, ancestors: Column | None = None) -> Column:
+          text: Column, attrs: Column | None = None, owners: Column | None = None,
+          ref_no: Column | None = None, filled_no: Column | None = None) -> Column:
     return F.struct(
         F.lit(entry).alias("entry"), F.lit(entry_no).alias("entry_no"),
         node_no.cast("int").alias("node_no"), parent_no.cast("int").alias("parent_no"),
@@ -292,7 +285,9 @@ def _node(entry: str, entry_no: int, node_no: Column, parent_no: Column, parent_
         F.lit(fv.OFD_NAMESPACE).alias("ns"), F.lit(tag).alias("tag"),
         (F.lit(None) if attrs is None else attrs).cast("map<string,string>").alias("attrs"),
         text.cast("string").alias("text"),
-        (F.array() if ancestors is None else ancestors).cast("array<int>").alias("ancestors"))
+        (F.array() if owners is None else owners).cast("array<int>").alias("owners"),
+        (F.lit(None) if ref_no is None else ref_no).cast("int").alias("ref_no"),
+        (F.lit(None) if filled_no is None else filled_no).cast("int").alias("filled_no"))
 
 
 def _entry(entry: str, entry_no: int) -> Column:
@@ -302,16 +297,20 @@ def _entry(entry: str, entry_no: int) -> Column:
         none.cast("int").alias("node_no"), none.cast("int").alias("parent_no"),
         none.cast("string").alias("parent_tag"), none.cast("string").alias("ns"),
         F.lit(TAG_ENTRY).alias("tag"), none.cast("map<string,string>").alias("attrs"),
-        none.cast("string").alias("text"), none.cast("array<int>").alias("ancestors"))
+        none.cast("string").alias("text"), none.cast("array<int>").alias("owners"),
+        none.cast("int").alias("ref_no"), none.cast("int").alias("filled_no"))
 
 
 def _cell(at: Column, object_id: Column, text: Column, x: Column, y: Column,
-          tag: str | None = None, reference_at: Column | None = None) -> Column:
-    """What one value needs: a text object and, with a tag, a reference to it."""
+          tag: str | None = None, reference_at: Column | None = None, ref_no: Column | None = None,
+          filled_no: Column | None = None) -> Column:
+    """What one value needs: a text object and, with a tag, a reference to it with its place."""
     return F.struct(
         at.cast("int").alias("at"), object_id.alias("object_id"), text.alias("text"),
         x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(tag).cast("string").alias("tag"),
-        (F.lit(None) if reference_at is None else reference_at).cast("int").alias("reference_at"))
+        (F.lit(None) if reference_at is None else reference_at).cast("int").alias("reference_at"),
+        (F.lit(None) if ref_no is None else ref_no).cast("int").alias("ref_no"),
+        (F.lit(None) if filled_no is None else filled_no).cast("int").alias("filled_no"))
 
 
 def _cell_nodes(cells: DataFrame) -> DataFrame:
@@ -323,15 +322,15 @@ def _cell_nodes(cells: DataFrame) -> DataFrame:
         F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string"), F.lit("10"), F.lit("5")))
     half = F.floor(F.char_length(text) / 2).cast("int")
     codes = [F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))]
-    owned = F.array(F.lit(0), at)
+    owned = F.array(at)
     nodes = [
         F.when(text.isNotNull(), _node(
-            CONTENT_NAME, 2, at, F.lit(0), "Layer", "TextObject", F.lit(None), attrs, F.array(F.lit(0)))),
+            CONTENT_NAME, 2, at, F.lit(0), "Layer", "TextObject", F.lit(None), attrs)),
         *[F.when(text.isNotNull(), _node(
             CONTENT_NAME, 2, at + i, at, "TextObject", "TextCode", code, None, owned)) for i, code in enumerate(codes, 1)],
         F.when(F.col("tag").isNotNull(), _node(
             TAG_ENTRY_NAME, 1, F.col("reference_at"), F.col("reference_at") - 1, F.col("tag"), "ObjectRef",
-            F.col("object_id"), None, F.array(F.col("reference_at") - 1))),
+            F.col("object_id"), None, None, F.col("ref_no"), F.col("filled_no"))),
     ]
     rows = c.select("rel_path", F.explode_outer(F.array(*nodes)).alias("n"))
     return rows.filter(F.col("n").isNotNull()).select("rel_path", "n.*")
@@ -345,10 +344,11 @@ def goods_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = {"Item": F.col("goods_name"), "TaxScheme": F.col("tax_rate"),
               "Amount": F.col("amount").cast("string"), "TaxAmount": F.col("tax_amount").cast("string")}
     no_text = F.lit(None).cast("string")
-    cells = [_cell(n * 40, F.lit(""), no_text, F.lit(0), F.lit(0), "Item", n * 40 + 4)]
+    cells = [_cell(n * 40, F.lit(""), no_text, F.lit(0), F.lit(0), "Item", n * 40 + 4, n * 2 - 2)]
     for i, (tag, value) in enumerate(values.items()):
         at = n * 40 + i * 10
-        cells.append(_cell(at, F.concat(F.lit(f"{i}-"), n.cast("string")), value, F.lit(10.0 * i), n * 10.0, tag, at + 5))
+        cells.append(_cell(at, F.concat(F.lit(f"{i}-"), n.cast("string")), value, F.lit(10.0 * i), n * 10.0, tag, at + 5,
+                           n * 2 - 1 if tag == "Item" else n - 1, n - 1))
     rows = _cell_nodes(g.select("rel_path", F.explode_outer(F.array(*cells)).alias("cell")))
     heads = g.filter(n == 1).select(
         "rel_path", F.explode_outer(F.array(
@@ -376,14 +376,15 @@ def header_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (tag, value) in enumerate(values):
         at, y = F.lit(100 + i * 10), F.lit(10.0 + 3 * i)
         if tag.endswith("Amount"):
-            cells.append(_cell(at + 5, F.lit(str(7900 + i)), F.lit("¥"), F.lit(5), y, tag, at))
-        cells.append(_cell(at, F.lit(str(6900 + i)), value, F.lit(20), y, tag, at + 2))
+            cells.append(_cell(at + 5, F.lit(str(7900 + i)), F.lit("¥"), F.lit(5), y, tag, at, F.lit(0), F.lit(0)))
+        cells.append(_cell(at, F.lit(str(6900 + i)), value, F.lit(20), y, tag, at + 2,
+                           *[F.lit(int(tag.endswith("Amount")))] * 2))
     cells.append(_cell(F.lit(500), F.lit("8001"), F.lit("增值税专用发票"), F.lit(1), F.lit(90)))
     cells.append(_cell(F.lit(510), F.lit("8002"), F.lit("叁佰圆整"), F.lit(1), F.lit(95)))
 
     def data(at: int, name: str, value: Column) -> Column:
         return _node("OFD.xml", 0, F.lit(at), F.lit(0), "CustomDatas", "CustomData", value,
-                     F.create_map(F.lit("Name"), F.lit(name)), F.array(F.lit(0)))
+                     F.create_map(F.lit("Name"), F.lit(name)))
 
     named = [data(9, "发票号码", F.lit("0")), data(10, "发票号码", F.col("number")), data(11, "开票日期", date),
              data(12, "合计金额", F.col("pretax").cast("string")), data(13, "价税合计", F.col("total").cast("string")),

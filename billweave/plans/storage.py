@@ -19,15 +19,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/billweave-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one; it goes when the application ends."""
+    folder = f"{shared_folder(spark)}/billweave-{uuid.uuid4().hex}"
+    system, path = _file_system(spark, folder)
+    system.deleteOnExit(path)
+    return folder
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+def stored(df: DataFrame, folder: str, name: str, by: str | None = None) -> DataFrame:
     """Write once, read by every consumer; also cuts the lineage, so a lost
-    executor costs a re-read and not a re-parse."""
+    executor costs a re-read and not a re-parse. With ``by``, one folder for each value of a column."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 Keep = Callable[[DataFrame, str], DataFrame]
@@ -42,6 +47,17 @@ def unstored(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str) -> tuple:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, jvm_path = _file_system(spark, path)
+    return system.exists(jvm_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    system, jvm_path = _file_system(spark, path)
+    system.delete(jvm_path, True)

@@ -27,8 +27,10 @@ HEADER_FIELDS = [
 NODES = (
     "rel_path string, entry string, entry_no int, node_no int, parent_no int, "
     "parent_tag string, ns string, tag string, attrs map<string,string>, text string, "
-    "ancestors array<int>"
+    "owners array<int>, ref_no int, filled_no int"
 )
+# owners: enclosing text objects, outermost first; ref_no and filled_no: place of an object
+# reference among those below equal tags of its entry, with and without empty ones
 TAG_ENTRY = "#entry"
 TAG_ERROR = "#error"
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave import fixed_values as fv
-
-CONTENT_LIMIT = 2_000_000_000  # a binary cell ends below 2 GiB
+from billweave.sources.folders import list_files, with_head
 
 
 def extension(name: Column) -> Column:
@@ -57,56 +54,40 @@ def classify(df: DataFrame, rel_path: str = "rel_path") -> DataFrame:
     )
 
 
-def relative_to(root: str) -> Column:
-    """Path below the root of a binary-file row."""
-    base = root if "://" in root or root.startswith("file:") else os.path.abspath(root)
-    base = base.rstrip("/") + "/"
-    return F.substring(
-        F.col("path"), F.locate(base, F.col("path")) + len(base), F.char_length("path"))
-
-
-def _binary(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root)
+def relative_to(spark: SparkSession, root: str) -> Column:
+    """Path below the root of a row of a Spark file source, whose paths are qualified; a row from
+    elsewhere is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(path).toString().rstrip("/") + "/"
+    return F.when(F.startswith("path", F.lit(base)), F.substring(
+        F.col("path"), F.lit(len(base) + 1), F.char_length("path"))).otherwise(
+        F.raise_error(F.concat("path", F.lit(f" is not below {base}"))))
 
 
-def any_case_glob(extensions: list[str]) -> str:
-    """``*.{...}`` that matches the extensions in any case."""
-    words = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e.lstrip(".")) for e in extensions]
-    return "*.{" + ",".join(words) + "}"
+def listing(found: DataFrame, magic: Column | None = None) -> DataFrame:
+    """The ``files`` table from ``path, rel_path, length, modification_time`` rows."""
+    unknown = F.lit(None).cast("boolean")
+    return classify(found).select(
+        "rel_path", F.col("path").alias("abs_path"), "ext", "file_type", "route",
+        (unknown if magic is None else magic).alias("magic_valid"), "length", "modification_time")
 
 
 def scan_files(
-    spark: SparkSession, root: str, skip: list[str] | None = None, check_magic: bool = False
+    spark: SparkSession, root: str, skip: list[str] | None = None, check_magic: bool = False,
+    folder: str | None = None,
 ) -> DataFrame:
-    """One row per file below the root.
+    """One row per file below the root, hidden names included.
 
-    The listing reads no content. The header check opens supported files of
-    readable size only; both limits reach the source as a name pattern and a
-    pushed length filter.
+    Folders are listed by tasks and no content is read. The header check reads the first four
+    bytes of each supported file, whatever its size.
     """
-    skip = fv.SKIP_DIRECTORIES if skip is None else skip
-
-    def shape(df: DataFrame, magic: Column) -> DataFrame:
-        kept = df.withColumn("rel_path", relative_to(root)).filter(
-            ~in_skipped_directory(F.col("rel_path"), skip))
-        return classify(kept).select(
-            "rel_path", F.col("path").alias("abs_path"), "ext", "file_type", "route",
-            magic.alias("magic_valid"), "length",
-            F.col("modificationTime").alias("modification_time"))
-
-    unknown = F.lit(None).cast("boolean")
+    found = list_files(spark, root, fv.SKIP_DIRECTORIES if skip is None else skip, folder)
     if not check_magic:
-        return shape(_binary(spark, root), unknown)
-    readable = F.col("length") <= CONTENT_LIMIT
-    content = _binary(spark, root, any_case_glob(list(fv.EXTENSION_TYPES))).filter(readable)
-    checked = shape(content, magic_valid(F.col("content"), F.col("file_type"))).filter(
-        F.col("file_type") != fv.UNSUPPORTED)
-    rest = shape(_binary(spark, root), unknown).filter(
-        (F.col("file_type") == fv.UNSUPPORTED) | ~readable)
-    return checked.unionByName(rest)
+        return listing(found)
+    kind = file_type(extension(F.substring_index("rel_path", "/", -1)))
+    headed = with_head(found.withColumn("wanted", kind != fv.UNSUPPORTED), root)
+    return listing(headed, magic_valid(F.col("head"), F.col("file_type")))
 
 
 def in_path_order(df: DataFrame) -> DataFrame:
@@ -115,12 +96,9 @@ def in_path_order(df: DataFrame) -> DataFrame:
     return df.orderBy("rel_path")
 
 
-def archive_content(spark: SparkSession, root: str, skip: list[str] | None = None) -> DataFrame:
-    """``rel_path, content`` of the tagged archives only."""
-    skip = fv.SKIP_DIRECTORIES if skip is None else skip
-    df = _binary(spark, root, any_case_glob([".ofd"])).filter(F.col("length") <= CONTENT_LIMIT)
-    return df.select(relative_to(root).alias("rel_path"), "content").filter(
-        ~in_skipped_directory(F.col("rel_path"), skip))
+def archive_files(listed: DataFrame) -> DataFrame:
+    """``rel_path, abs_path`` of the tagged archives of a listing."""
+    return listed.filter(F.col("route") == "ofd").select("rel_path", "abs_path")
 
 
 def admission_code(

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from billweave import fixed_values as fv
 from billweave.operators import assist, tags
-from billweave.plans.folder_run import process_documents, run_folder_to_tables
+from billweave.plans.folder_run import outcomes, process_documents, run_folder_to_tables
 from billweave.sources import archives, files, sinks
 from billweave.streaming import ingest
 from pyspark.sql import functions as F
@@ -55,11 +55,11 @@ def test_scan(spark, folder):
     plain = files.scan_files(spark, folder)
     assert [r.rel_path for r in files.in_path_order(plain).collect()] == sorted(rows)
     assert plain.filter("magic_valid is not null").count() == 0
-    assert "content" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
 def test_shred_and_tags(spark, folder):
-    nodes = archives.shred_archives(files.archive_content(spark, folder)).persist()
+    listed = files.archive_files(files.scan_files(spark, folder))
+    nodes = archives.shred_archives(listed, root=folder).persist()
     objects = tags.text_objects(nodes)
     texts = tags.object_texts(objects)
     got = {(r.rel_path, r.object_id): r.text for r in texts.collect()}
@@ -110,6 +110,8 @@ def test_folder_run(spark, folder, tmp_path):
     assert read("goods_detail").count() == 1
     sheet = {r["统计项"]: r["数量"] for r in read("statistics").collect()}
     assert sheet["扫描文件总数"] == "10" and sheet["校验关系"].endswith("✓")
+    assert sheet[fv.STATISTICS_LABELS[-1]] != "00:00:00" and results.agg(F.sum("elapsed_seconds")).first()[0] > 0
+    assert fv.MSG_NO_RECOGNITION in failed["发票003.png"]  # nobody could read it
     record = read("records").filter("rel_path = '发票001.pdf'").first().record
     assert '"invoice_number":"00000000000000000077"' in record and '"is_success":true' in record
 
@@ -161,14 +163,14 @@ def test_incremental_runs_equal_one_batch(spark, tmp_path):
 
 def test_archive_stream(spark, folder, tmp_path):
     def process(batch):
-        nodes = archives.shred_archives(batch.select(files.relative_to(folder).alias("rel_path"), "content"))
-        docs = tags.tagged_documents(nodes.select("rel_path").distinct(), nodes)
-        return process_documents(docs).withColumn("file_type", F.lit("ofd"))
+        nodes = archives.shred_archives(files.archive_files(batch), root=folder)
+        return outcomes(batch, tags.tagged_documents(nodes.select("rel_path").distinct(), nodes))
 
     table = str(tmp_path / "table")
-    ingest.start_ingest(ingest.new_archives(spark, folder), process, table, str(tmp_path / "o")).awaitTermination()
+    ingest.start_ingest(ingest.new_files(spark, folder), process, table, str(tmp_path / "o")).awaitTermination()
     got = spark.read.parquet(table)
-    assert got.count() == 4 and got.filter("status = 'success'").count() == 1 and got.filter("is_dedup").count() == 1
+    assert got.count() == 10 and got.filter("status = 'success'").count() == 1 and got.filter("is_dedup").count() == 1
+    assert got.filter("status = 'skipped' and not is_dedup").count() == 2  # files of other kinds have rows too
 
 
 def test_custom_parser_plugs_in(spark):
@@ -189,3 +191,92 @@ def test_goods_output_is_left_out_without_lines(spark, tmp_path):
     done = process_documents(docs).withColumns({"file_type": F.lit("pdf"), "elapsed_seconds": F.lit(0.0), "modification_time": F.current_timestamp()})
     sinks.write_outputs(done, str(tmp_path / "out"))
     assert not (tmp_path / "out" / "goods_detail").exists() and (tmp_path / "out" / "accepted").exists()
+
+
+@pytest.mark.parametrize("form", ["{}", "file://{}", "file:{}", "{}/"])
+def test_roots_and_names(spark, tmp_path, form):
+    root = tmp_path / "a b%20c"
+    (root / "_deep" / ".x").mkdir(parents=True)
+    for name in ("c.pdf", "_hidden.pdf", ".dot.pdf", "_deep/.x/100%.pdf", "_deep/e f.txt"):
+        (root / name).write_bytes(b"%PDF")
+    rows = {r.rel_path: r for r in files.scan_files(spark, form.format(root), check_magic=True).collect()}
+    assert set(rows) == {"c.pdf", "_hidden.pdf", ".dot.pdf", "_deep/.x/100%.pdf", "_deep/e f.txt"}
+    assert rows["_deep/.x/100%.pdf"].magic_valid and rows["_deep/e f.txt"].magic_valid is None
+    streamed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(form.format(root))
+    seen = streamed.select(files.relative_to(spark, form.format(root)).alias("p")).collect()
+    assert [r.p for r in seen if "_" not in r.p] == ["c.pdf"]
+
+
+def test_files_of_any_size(spark, tmp_path):
+    with open(tmp_path / "large.pdf", "wb") as file:  # sparse
+        file.write(b"%PDF")
+        file.truncate(3 << 30)
+    (tmp_path / "none.pdf").write_bytes(b"")
+    rows = {r.rel_path: (r.length, r.magic_valid) for r in files.scan_files(spark, str(tmp_path), check_magic=True).collect()}
+    assert rows == {"large.pdf": (3 << 30, True), "none.pdf": (0, False)}
+    assert files.scan_files(spark, str(tmp_path), skip=[]).count() == 2
+    (tmp_path / "empty").mkdir()
+    assert files.scan_files(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_declared_encodings(spark):
+    def content(encoding):
+        blob = io.BytesIO()
+        with zipfile.ZipFile(blob, "w") as z:
+            z.writestr("Content.xml", f'<?xml version="1.0" encoding="{encoding}"?><P>发票\u00e9</P>'.encode(
+                encoding if encoding != "gbk" else "gb18030"))
+        return blob.getvalue()
+
+    kinds = ["utf-8", "gbk", "gb18030", "utf-16", "big5hkscs"]
+    df = spark.createDataFrame([(k, content(k)) for k in kinds], "rel_path string, content binary")
+    got = {r.rel_path: r.text for r in archives.shred_archives(df).filter("tag = 'P'").collect()}
+    assert got == dict.fromkeys(kinds, "发票\u00e9")
+
+
+def test_two_jobs_share_a_table(spark, tmp_path):
+    table = str(tmp_path / "table")
+
+    def batch(numbers):
+        return spark.createDataFrame([(f"{n}.pdf", f"发票代码：{'A' * 10}\n发票号码：{10000000 + n % 5}\n价税合计：1.00") for n in numbers],
+                                     "rel_path string, full_text string")
+
+    def process(df):
+        return process_documents(df.withColumns({"source": F.lit(fv.SOURCE_TEXT), "file_type": F.lit("pdf"), "confidence": F.lit(1.0)}))
+
+    first, second = (ingest.ingest_batch(process, table, j) for j in ("j0", "j1"))
+    first(batch(range(3)), 0)
+    second(batch(range(3, 10)), 0)
+    first(batch(range(3)), 0)  # a repeated batch stays the first
+    got = spark.read.parquet(table)
+    assert got.count() == 10 and {r.job_status for r in ingest.job_status(got).collect()} == {"completed"}
+    assert {r.rel_path for r in got.filter("NOT is_dedup").collect()} == {f"{n}.pdf" for n in range(5)}
+
+
+def test_parser_and_paths_of_a_run(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        z.writestr("invoice.xml", "<Invoice><InvoiceNo>123</InvoiceNo><TotalAmount>5</TotalAmount></Invoice>")
+    (tmp_path / "in" / "a.ofd").write_bytes(blob.getvalue())
+    paths = {"invoice_number": "//Invoice/InvoiceNo", "total_amount": "TotalAmount"}
+    run = lambda out, **more: run_folder_to_tables(spark, str(tmp_path / "in"), str(tmp_path / out), **more).first()
+    assert run("o1").status == "failed"
+    row = run("o2", entries=("invoice.xml",), paths=paths)
+    assert (row.status, row.invoice_number, row.total_amount) == ("success", "123", "5")
+
+    def parser(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({c: [None] * len(b) for c in archives.COLUMNS}).assign(
+                rel_path=b["rel_path"], entry_no=0, node_no=0, tag="TotalAmount", text="7")
+
+    assert run("o3", parser=parser, paths={**paths, "invoice_number": "TotalAmount"}).invoice_number == "7"
+
+
+def test_short_embedded_text_without_blocks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF")
+    spans = spark.createDataFrame([("a.pdf", 0, 0, 1.0, 1.0, "short")], "rel_path string, page int, seq int, x double, y double, text string")
+    row = run_folder_to_tables(spark, str(tmp_path / "in"), str(tmp_path / "out"), spans).first()
+    assert row.confidence == 0.8 and fv.MSG_NO_RECOGNITION in row.error_message
