@@ -120,3 +120,37 @@ def test_goods_json_round_trip(spark):
     df = spark.range(1).select(F.array(items.goods_item(goods_name=F.lit('电"脑'), amount=F.lit("1"))).alias("g"))
     row = df.select(items.goods_json(F.col("g")).alias("j"), "g").withColumn("back", items.goods_from_json(F.col("j"))).first()
     assert row.back == row.g and '"货物名称":"电\\"脑"' in row.j
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_an_empty_line_anywhere_ends_the_list(spark, place):
+    rows = ["a 1 13% 1", "b 2 13% 2", "c 3 13% 3"]
+    lines = ["项目名称 金额 税率 税额", *rows]
+    lines.insert(place + 1, "") if place < 4 else None
+    df = spark.createDataFrame([("\n".join(lines),), ("\n".join(lines).replace("\n\n", "\n \t\n"),)], "full_text string")
+    for row in items.goods_from_text(df).collect():
+        assert [i.goods_name for i in row.text_items] == [r[0] for r in rows[:place if place < 4 else 3]]
+
+
+def test_wide_amounts(spark):
+    goods = spark.createDataFrame([("a", "123456789012345678.00", "1")], "k string, amount string, tax_amount string")
+    heads = spark.createDataFrame([("a", "1.00", "1", "")], "k string, pretax_amount string, tax_amount string, total_amount string")
+    (row,) = checks.check_against_items(heads, goods, "k").collect()
+    assert len(row.check_notes) == 1 and "123456789012345678.00" in row.check_notes[0]
+
+
+def test_positions_in_a_hot_group_with_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from billweave.operators.spread import chunk_of, with_ordinal
+
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 3 != 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+        F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("at"), "id").withColumn("part", chunk_of(F.col("at"), 100))
+    got = with_ordinal(df, ["k"], ["part"], ["at", "id"]).filter("k = 'hot'").select("at", "id", "ordinal").collect()
+    order = sorted(got, key=lambda r: (r.at is not None, r.at or 0, r.id))
+    assert [r.ordinal for r in order] == list(range(len(got))) and len(got) == 26_666
+    nulls = spark.createDataFrame([(None, 1, 1), (None, None, 2)], "k string, part int, id int")
+    assert sorted(r.ordinal for r in with_ordinal(nulls, ["k"], ["part"], ["id"]).collect()) == [0, 1]
+    two = with_ordinal(df.withColumn("q", F.col("id") % 2), ["k"], ["part", "q"], ["at", "id"])
+    assert two.count() == 40_000 and two.filter("k = 'hot'").select("ordinal").distinct().count() == 26_666

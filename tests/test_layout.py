@@ -40,12 +40,22 @@ def test_recognised_order_confidence_and_first_page(spark):
     rows = [("d", 0, 0, "right", 0.9, box(90.0, 14.0)), ("d", 0, 1, "left", 0.7, flat(10.0, 6.0)), ("d", 0, 2, "below", 0.5, box(10.0, 30.0)),
             ("d", 0, 3, "nowhere", 0.9, None), ("d", 1, 0, "page two", 0.1, box(0.0, 0.0))]
     df = spark.createDataFrame(rows, "rel_path string, page int, seq int, text string, confidence double, bbox array<array<double>>")
-    row = layout.recognised_documents(df).first()
+    whole = layout.recognised_documents(df).first()
+    assert whole.full_text == "nowhere\nleft\nright\nbelow\npage two" and abs(whole.confidence - 0.62) < 1e-9
+    row = layout.recognised_documents(layout.first_pages(df)).first()
     assert row.full_text == "nowhere\nleft\nright\nbelow"
     assert abs(row.confidence - 0.75) < 1e-9
     assert {b.text: b.side for b in row.blocks} == {"nowhere": "left", "left": "left", "right": "right", "below": "left"}
 
 
+def test_pages_do_not_mix(spark):
+    box = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]]
+    rows = [("d", p, s, f"p{p}{'ab'[s]}", 1.0, [[x + 300 * s + 50 * p, y] for x, y in box]) for p in (1, 0) for s in (1, 0)]
+    df = spark.createDataFrame(rows, "rel_path string, page int, seq int, text string, confidence double, bbox array<array<double>>")
+    row = layout.recognised_documents(df).first()
+    assert row.full_text == "p0a\np0b\np1a\np1b" and [b.side for b in row.blocks] == ["left", "right"] * 2
+
+
 def test_source_choice(spark):
     kind = "rel_path string, full_text string, blocks array<struct<text:string,y:double,x:double,side:string>>"
     e = spark.createDataFrame([("long", "x" * 51, []), ("short", "x" * 50, []), ("alone", "y", [])], kind)

@@ -39,8 +39,15 @@ def test_hot_key(spark):
     assert out.filter("invoice_number = 'hot' and not is_dedup").first().rel_path == "00000000"
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
-    # marks return over the unique path
-    assert "Join [rel_path" in plan and "Join [invoice_" not in plan
+    # the rows meet one row for each key with copies, and are not shuffled on their path
+    assert "Join [rel_path" not in plan and "(_n#" in plan
+
+
+def test_missing_key_parts_and_history(spark):
+    rows = [("a", "pdf", "success", None, "1", True), ("b", "pdf", "success", None, "1", True), ("c", "pdf", "success", "k", "2", True)]
+    seen = spark.createDataFrame([("k", "2"), ("z", "9"), ("k", "2")], "invoice_code string, invoice_number string")
+    got = {r.rel_path: r.is_dedup for r in outcome.mark_duplicates(frame(spark, rows), seen).collect()}
+    assert got == {"a": False, "b": True, "c": True}
 
 
 def test_counters(spark):
