@@ -78,3 +78,21 @@ def test_company_above_tax_id(spark):
         "full_text string, b string, s string")
     got = [(r.buyer_name, r.seller_name) for r in fields.companies_above_tax_ids(docs, "full_text", "b", "s").collect()]
     assert got == [("甲厂", "乙店"), ("甲厂", ""), ("乙店", "甲厂"), ("", "甲厂")]
+
+
+def test_known_party_names_stay(spark):
+    rows = [("甲有限公司\n税号 91\n乙有限公司\n税号 92", "91", "92", "known", ""), ("nothing", "91", "92", "a", "b")]
+    df = spark.createDataFrame(rows, "full_text string, b string, s string, buyer_name string, seller_name string")
+    got = [(r.buyer_name, r.seller_name) for r in fields.companies_above_tax_ids(df, "full_text", "b", "s").collect()]
+    assert got == [("known", "乙有限公司"), ("a", "b")]
+
+
+def test_tagged_rows_get_no_section_fields(spark):
+    from billweave import fixed_values as fv
+    from billweave.plans.folder_run import extract
+
+    blocks = [("名称：甲有限公司", 1.0, 1.0, "left"), ("名称：乙有限公司", 1.0, 9.0, "right")]
+    kind = "rel_path string, source string, full_text string, blocks array<struct<text:string,y:double,x:double,side:string>>"
+    df = spark.createDataFrame([("t", fv.SOURCE_TAGGED, "", blocks), ("p", fv.SOURCE_TEXT, "", blocks)], kind)
+    got = {r.rel_path: (r.buyer_name, r.seller_name) for r in extract(df).collect()}
+    assert got == {"t": ("", ""), "p": ("甲有限公司", "乙有限公司")}

@@ -280,3 +280,17 @@ def test_short_embedded_text_without_blocks(spark, tmp_path):
     spans = spark.createDataFrame([("a.pdf", 0, 0, 1.0, 1.0, "short")], "rel_path string, page int, seq int, x double, y double, text string")
     row = run_folder_to_tables(spark, str(tmp_path / "in"), str(tmp_path / "out"), spans).first()
     assert row.confidence == 0.8 and fv.MSG_NO_RECOGNITION in row.error_message
+
+
+def test_the_last_answer_counts(spark):
+    docs = spark.createDataFrame([("low", "票", 0.5)], "rel_path string, full_text string, confidence double").withColumn("source", F.lit(fv.SOURCE_TEXT))
+
+    def provider(requests):
+        answers = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f"total_amount={v}").alias("v")) for n, v in ((1, "9"), (2, "10"))])
+        return requests.filter("field = 'total_amount'").select("rel_path", "field", F.explode(answers).alias("a")).select(
+            "rel_path", "field", F.col("a.n").alias("answer_no"), F.col("a.v").alias("answer_text"))
+
+    assert process_documents(docs, provider=provider).first().error_message != ""
+    answers = assist.parse_answers(provider(assist.requests(docs.select("*", *[F.lit("").alias(f) for f in assist.FIELDS]))).withColumn("wanted", F.array("field")))
+    wide = docs.select("*", *[F.lit("").alias(f) for f in assist.FIELDS], F.array().cast("array<string>").alias("validation_notes"))
+    assert assist.merge_answers(wide, answers).first().total_amount == "10"
