@@ -43,6 +43,10 @@ SIDE_WORDS = {
     "copyright", "disclaimer", "reviews", "feedback"}
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog",
               "menu", "menubar", "form"}
+#: Words at the start of a name that tell what a part has, not what it is.
+HAVING = {"has", "with", "without", "no", "is", "js"}
+#: Heads of a page, unless their name says that they are those of an article.
+HEADS, OF_ARTICLE = {"header"}, {"article", "post", "entry", "story", "content", "title"}
 READERS = {"comment", "comments", "commentlist", "respond", "disqus", "discussion", "replies", "reply", "reviews",
            "feedback"}
 
@@ -62,16 +66,21 @@ class Line:
         self.parts, self.linked, self.side, self.landmark = [], 0, side, landmark
 
 
-def side_of(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element begins a part beside the article, and whether it holds readers' comments."""
+def side_of(name: str, attributes: str, names: bool, landmark: int) -> tuple[bool, bool]:
+    """Whether an element begins a part beside the article, and whether it holds readers' comments; by its
+    classes and id too, if ``names`` count."""
     if not attributes:
         return name in ASIDE, False
     words: set[str] = set()
     hidden = False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id"):
-            words.update(WORD.findall(value.lower()))
+        if key in ("class", "id") and names:
+            for part in value.lower().split():
+                own = WORD.findall(part)
+                if own and own[0] not in HAVING:
+                    words.update(own)
+                    hidden |= not landmark and bool(HEADS & {*own}) and not OF_ARTICLE & {*own}
         elif key == "role":
             hidden |= value.lower() in SIDE_ROLES
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -81,7 +90,7 @@ def side_of(name: str, attributes: str) -> tuple[bool, bool]:
     return name in ASIDE or hidden or bool(words & SIDE_WORDS), bool(words & READERS)
 
 
-def lines_of(page: str) -> list[Line]:
+def lines_of(page: str, names: bool = True) -> list[Line]:
     """Lines of a page in order. Elements stay open until their end or that of an outer one; an article
     or main element that begins in a menu left open ends that menu."""
     # open elements: name, beside the article, readers' comments, landmark number
@@ -137,7 +146,7 @@ def lines_of(page: str) -> list[Line]:
             stack.clear()
         elif name not in OPEN_ENDED and not attributes.rstrip().endswith("/"):
             side, readers, landmark = state()
-            begins, begins_readers = side_of(name, attributes)
+            begins, begins_readers = side_of(name, attributes, names, landmark)
             if name == "header":
                 begins |= not landmark
             if name in ("article", "main"):
@@ -150,7 +159,7 @@ def lines_of(page: str) -> list[Line]:
             side |= begins
             stack.append((name, side, readers or begins_readers, landmark))
             links = 0
-        elif name in ("li", "p", "td", "th") and attributes and side_of(name, attributes)[0]:
+        elif name in ("li", "p", "td", "th") and attributes and side_of(name, attributes, names, state()[2])[0]:
             new_line()
             lines[-1].side = True
             continue
@@ -159,9 +168,14 @@ def lines_of(page: str) -> list[Line]:
 
 
 def main_text(page: str) -> str:
-    """Lines between the surge and the dive point, joined by line ends."""
+    """Lines between the surge and the dive point, joined by line ends. A page whose classes and ids would
+    put all of its text aside is read again without them."""
+    return text_between(lines_of(page)) or text_between(lines_of(page, names=False))
+
+
+def text_between(lines: list[Line]) -> str:
     found = []
-    for line in lines_of(page):
+    for line in lines:
         value = " ".join("".join(line.parts).split())
         if value:
             linked = line.linked > LINKED * len(value)

@@ -123,6 +123,9 @@ def test_page_text_without_landmarks():
     ('<article class="comment">x</article><p>y</p>', "y"), ("a < b and c > d &am", "a < b and c > d &am"),
     ("<nav><a>x</a><article><p>in</p></article>", "in"), ("<!-- <p>no</p> --><p>yes</p>", "yes"),
     ('<script>var t="</p>";</script><p>x</p><scr', "x"), ("<article><p>cut off &amp", "cut off &"),
+    ('<div id="page" class="has-sidebar"><p>in</p></div>', "in"), ('<div class="sidebar-wrap"><p>all</p></div>', "all"),
+    ('<div class="site-header"><p>Name of it</p></div><div class="entry-header"><h1>T</h1></div><p>B</p>', "T\nB"),
+    ('<article><p>B</p><div class="comments"><p>r</p></div><p class="notice">n</p><p>E</p></article>', "B\nE"),
     ("<main><header><h1>T</h1></header><p>B</p><aside>s</aside><p>E</p></main><p>out</p>", "T\nB\nE"),
 ])
 def test_page_texts(spark, page, text):
