@@ -11,7 +11,7 @@ from billweave.operators import checks, fields, items, layout, tags
 from billweave.operators.outcome import is_success
 from billweave.plans import render
 from billweave.plans.catalog_sql import GOODS, ORDER_HEADERS, PARTIES
-from billweave.plans.folder_run import extract, finish
+from billweave.plans.folder_run import extract, finish, with_document_columns
 from billweave.schemas import PARTY_FIELDS
 
 
@@ -202,6 +202,27 @@ SELECT number, item_no, goods_name, CAST(amount AS VARCHAR) AS amount, tax_rate,
 FROM goods WHERE order_key % 10 <> 3 AND (order_key % 10 <> 7 OR item_no = 1)"""
 
 
+def goods_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    """Tagged lines go before text lines; empty totals follow from the sums of the former or from the
+    first of the latter."""
+    tagged = F.array(items.goods_item(goods_name=F.lit("tagged"), amount=F.lit("5"), tax_amount=F.lit("1")),
+                     items.goods_item(goods_name=F.lit("more"), amount=F.lit("2.5"), tax_amount=F.lit("x")))
+    docs = render.goods_documents(spark, sf).withColumns({
+        "tag_items": F.when(F.col("order_key") % 3 == 0, tagged), "pretax_amount": F.lit(""), "tax_amount": F.lit("")})
+    done = items.with_goods(with_document_columns(docs))
+    return done.select(
+        "number", F.size("line_items").cast("bigint").alias("n_lines"),
+        F.get("line_items", F.lit(0))["goods_name"].alias("first_name"), "pretax_amount", "tax_amount")
+
+
+PRECEDENCE_SQL = f"""WITH {GOODS}
+SELECT number, CASE WHEN order_key % 3 = 0 THEN 2 ELSE count(*) END AS n_lines,
+       CASE WHEN order_key % 3 = 0 THEN 'tagged' ELSE arg_min(goods_name, item_no) END AS first_name,
+       CASE WHEN order_key % 3 = 0 THEN '7.50' ELSE CAST(arg_min(amount, item_no) AS VARCHAR) END AS pretax_amount,
+       CASE WHEN order_key % 3 = 0 THEN '1.00' ELSE CAST(arg_min(tax_amount, item_no) AS VARCHAR) END AS tax_amount
+FROM goods GROUP BY number, order_key"""
+
+
 def goods_lines_blocks(spark: SparkSession, sf: str) -> DataFrame:
     docs = items.goods_from_blocks(render.goods_blocks(spark, sf), out="line_items")
     return items.explode_goods(docs, "number").select(
@@ -372,6 +393,7 @@ ENTRIES = {
         FROM orders JOIN customer ON o_custkey = c_custkey"""),
     "goods_lines_text": (goods_lines_text, GOODS_SQL),
     "goods_lines_blocks": (goods_lines_blocks, GOODS_BLOCKS_SQL),
+    "goods_precedence": (goods_precedence, PRECEDENCE_SQL),
     "three_level_check": (three_level_check, CHECK_SQL),
     "document_remarks": (document_remarks, REMARKS_SQL),
     "backfill_totals": (backfill_totals, BACKFILL_SQL),
