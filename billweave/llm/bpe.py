@@ -27,7 +27,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 CACHED_LENGTH = 64
 TOGETHER = 500
 MANY = 64
@@ -269,6 +269,12 @@ class Model:
         special = sorted(self.special, key=len, reverse=True)
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
+    def forget(self) -> None:
+        """A task starts with empty caches, so a worker's memory is bounded by that of one task."""
+        self.pieces.clear()
+        self.words.clear()
+        self.pieces.old, self.words.old = {}, {}
+
     def plain(self, text: str) -> bytes:
         """Ids of any text without special tokens."""
         return b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(text)))
@@ -355,6 +361,7 @@ def encode_decode(
 
     def start():
         bpe = model(content.value)
+        bpe.forget()
 
         def columns(column: pa.Array) -> list[pa.Array]:
             made: list[list] = [[] for _ in fields]

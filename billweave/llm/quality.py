@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from billweave.llm.tables import texts, with_python_columns
+from billweave.llm.tables import bounded_batches, texts, with_python_columns
 
 FEATURES = [
     "words", "word_length", "upper", "symbols", "most_symbol", "digits", "distinct_words", "distinct_lines",
@@ -184,6 +184,7 @@ def labelled_sample(
 ) -> DataFrame:
     """Key, text and label of at most ``rows`` labelled rows that may be learnt from. The chosen keys, of
     which there are no more than ``rows``, are broadcast, so texts stay where they are."""
+    bounded_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(label).isNotNull() & ~is_held_out(F.col(key))).select(F.col(key).alias("__key"), label)
         .groupBy("__key").agg(F.max(label).cast("int").alias("label"))

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 
+ROWS_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+BYTES_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,8 +37,18 @@ def own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"billweave-{application}-")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep what a Python task holds at once within a few megabytes: Arrow batches of this session get
+    at most BATCH_ROWS rows and BATCH_BYTES bytes (one longer row is a batch of its own)."""
+    for name, most in ((ROWS_SETTING, BATCH_ROWS), (BYTES_SETTING, BATCH_BYTES)):
+        held = spark.conf.get(name).lower().removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(name, str(most))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one; it goes when the application ends."""
+    bounded_batches(spark)
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
@@ -68,13 +82,11 @@ def with_python_columns(
     Arrow arrays (one for each field) out. Other columns pass through; input columns
     named like a new one are replaced.
     """
-    names = [f.name for f in fields]
-    value = df[source]
-    rest = without(df, names)
-    # The source is carried in a column of its own, as it may be one of those replaced.
-    sent = rest.select("*", F.lit(0).alias("__")).drop("__") if source in rest.columns else df
-    if source not in rest.columns:
-        sent = df.select([F.col(f"`{c}`") for c in rest.columns] + [value.alias("__source__")])
+    bounded_batches(df.sparkSession)
+    rest = without(df, [f.name for f in fields])
+    # A source that is itself replaced travels in a column of its own.
+    sent = rest if source in rest.columns else df.select(
+        [F.col(f"`{c}`") for c in rest.columns] + [df[source].alias("__source__")])
     at = sent.columns.index(source if source in sent.columns else "__source__")
     kept = [i for i, c in enumerate(sent.columns) if c != "__source__"]
     schema = StructType([sent.schema.fields[i] for i in kept] + fields)
@@ -85,5 +97,7 @@ def with_python_columns(
         for batch in batches:
             made = function(batch.column(at))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + made, names=labels)
+            del batch, made
+            pa.default_memory_pool().release_unused()
 
     return sent.mapInArrow(run, schema)
