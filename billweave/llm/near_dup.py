@@ -277,7 +277,8 @@ def near_duplicates(
         F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     wanted = held.join(size, "group").select("id", "group", "blocks", "signature")
-    members = with_shingles(docs.join(wanted, "id"))
+    # by shuffle at every size, so that cost grows in proportion to the table
+    members = with_shingles(docs.join(wanted.hint("merge"), "id"))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     blocks = members.select("*", other.alias("other")).select(
