@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from billweave.llm.tables import shared_folder, stored, texts, with_python_columns, without, work_folder
+from billweave.llm.tables import stored, texts, with_python_columns, without, work_folder
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MOST_COUNT = 2**32 - 1
@@ -217,7 +217,7 @@ def line_dedup(
     df: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text",
     broadcast_bytes: int = 64 << 20, part_rows: int = 1 << 20,
 ) -> DataFrame:
-    """Drop, in every row, the lines whose key at least ``min_docs`` rows hold.
+    """Drop, in every row, the lines whose key at least ``min_docs`` rows hold (two or more).
 
     Adds ``n_lines`` (before dropping), ``n_dropped`` and ``kept_text``. Keys of fewer than
     ``min_chars`` code points always stay. A null or empty text is one empty line and comes
@@ -228,8 +228,9 @@ def line_dedup(
     Arrays of up to ``broadcast_bytes`` go to every executor. Larger ones stay dealt into
     shards and the keys of documents travel to them.
     """
+    if min_docs < 2:
+        raise ValueError("the index holds lines of two rows or more; min_docs must be 2 at least")
     spark = df.sparkSession
-    shared_folder(spark)
     index = build_index(df, text, min_chars)
     size = index.agg(F.sum(F.length("content"))).first()[0] or 0
     fields = [StructField("n_lines", LongType()), StructField("n_dropped", LongType()),
