@@ -1,9 +1,11 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped into lines, one for each block element. A line weighs as much as it has
-characters outside links, and nothing inside menus, adverts, forms and the like. Sums of weights
-over a sliding window of lines surge where the article begins and dive where it ends;
-the lines between the two points are the text.
+characters outside links; lines of menus, adverts, forms and the like are left out. Article and main
+elements adjust weights: lines in them weigh all their characters, and lines beside them
+nothing, unless the elements hold next to no text. Sums of weights over a sliding window of
+lines surge where the article begins and dive where it ends; the lines between the two points
+are the text.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ WINDOW = 3
 SURGE = 80
 #: A line with a greater share of its characters in links weighs nothing.
 LINKED = 0.5
+#: Text in article and main elements counts so many times when it is weighed against the text beside them.
+LIFT = 10
 
 # Element names of HTML by what they mean for text.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "canvas", "iframe", "object", "select", "textarea",
@@ -60,10 +64,12 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template",
 
 
 class Line:
-    __slots__ = ("parts", "linked", "side", "landmark")
+    """``landmark`` is the number of the outermost article or main element around the line, 0 without one;
+    ``group`` that of the element which holds the landmark."""
+    __slots__ = ("parts", "linked", "side", "landmark", "group")
 
-    def __init__(self, side: bool, landmark: int):
-        self.parts, self.linked, self.side, self.landmark = [], 0, side, landmark
+    def __init__(self, side: bool, landmark: int, group: int):
+        self.parts, self.linked, self.side, self.landmark, self.group = [], 0, side, landmark, group
 
 
 def side_of(name: str, attributes: str, names: bool, landmark: int) -> tuple[bool, bool]:
@@ -93,17 +99,18 @@ def side_of(name: str, attributes: str, names: bool, landmark: int) -> tuple[boo
 def lines_of(page: str, names: bool = True) -> list[Line]:
     """Lines of a page in order. Elements stay open until their end or that of an outer one; an article
     or main element that begins in a menu left open ends that menu."""
-    # open elements: name, beside the article, readers' comments, landmark number
-    stack: list[tuple[str, bool, bool, int]] = []
-    lines = [Line(False, 0)]
-    links, landmarks, at, end = 0, 0, 0, len(page)
+    # open elements: name, beside the article, readers' comments, landmark number, element number
+    stack: list[tuple[str, bool, bool, int, int]] = []
+    lines = [Line(False, 0, 0)]
+    groups = [0]  # of each landmark, the element that holds it
+    links, elements, at, end = 0, 0, 0, len(page)
 
-    def state() -> tuple[bool, bool, int]:
-        return stack[-1][1:] if stack else (False, False, 0)
+    def state() -> tuple[bool, bool, int, int]:
+        return stack[-1][1:] if stack else (False, False, 0, 0)
 
     def new_line() -> None:
-        side, _, landmark = state()
-        lines.append(Line(side, landmark))
+        side, _, landmark, _ = state()
+        lines.append(Line(side, landmark, groups[landmark]))
 
     def text(value: str) -> None:
         if value:
@@ -145,7 +152,8 @@ def lines_of(page: str, names: bool = True) -> list[Line]:
         elif name == "body":
             stack.clear()
         elif name not in OPEN_ENDED and not attributes.rstrip().endswith("/"):
-            side, readers, landmark = state()
+            side, readers, landmark, parent = state()
+            elements += 1
             begins, begins_readers = side_of(name, attributes, names, landmark)
             if name == "header":
                 begins |= not landmark
@@ -154,10 +162,10 @@ def lines_of(page: str, names: bool = True) -> list[Line]:
                     if side and not any(x[0] in ("aside", "footer") for x in stack):
                         side = False
                     if not side and not landmark:
-                        landmarks += 1
-                        landmark = landmarks
+                        landmark = len(groups)
+                        groups.append(parent)
             side |= begins
-            stack.append((name, side, readers or begins_readers, landmark))
+            stack.append((name, side, readers or begins_readers, landmark, elements))
             links = 0
         elif name in ("li", "p", "td", "th") and attributes and side_of(name, attributes, names, state()[2])[0]:
             new_line()
@@ -178,21 +186,30 @@ def text_between(lines: list[Line]) -> str:
     for line in lines:
         value = " ".join("".join(line.parts).split())
         if value:
-            linked = line.linked > LINKED * len(value)
-            found.append((value, 0 if line.side or linked else len(value), line.side, line.landmark))
-    if not found:
-        return ""
-    marked: dict[int, int] = {}
-    for _, weight, _, landmark in found:
-        if landmark:
-            marked[landmark] = marked.get(landmark, 0) + weight
-    if any(marked.values()):
-        # Within a landmark each line of text is a surge of its own; beside it there is none.
-        most = max(marked, key=lambda k: (marked[k], -k))
-        return "\n".join(v for v, _, side, landmark in found if landmark == most and not side)
-    weights = [w for _, w, _, _ in found]
+            found.append((value, line))
+    weights = [0 if x.side or x.linked > LINKED * len(v) else len(v) for v, x in found]
+    group = article_group(found, weights)
+    if group is None:
+        begin, end = surge_and_dive(weights)
+        return "\n".join(v for (v, x), w in zip(found[begin:end], weights[begin:end], strict=True) if w and not x.side)
+    weights = [len(v) if x.landmark and x.group == group and not x.side else 0 for v, x in found]
     begin, end = surge_and_dive(weights)
-    return "\n".join(v for v, w, side, _ in found[begin:end] if w and not side)
+    # Landmarks that one element holds are parts of one article, whatever stands between them.
+    heavy = [i for i, w in enumerate(weights) if w]
+    begin, end = min(begin, heavy[0]), max(end, heavy[-1] + 1)
+    return "\n".join(v for (v, _), w in zip(found[begin:end], weights[begin:end], strict=True) if w)
+
+
+def article_group(found: list[tuple[str, Line]], weights: list[int]) -> int | None:
+    """The element that holds the landmark with most text; None if landmarks weigh too little beside the rest."""
+    marked: dict[int, int] = {}
+    groups = {x.landmark: x.group for _, x in found}
+    for (_, x), weight in zip(found, weights, strict=True):
+        marked[x.landmark] = marked.get(x.landmark, 0) + weight
+    beside = marked.pop(0, 0)
+    if not any(marked.values()) or LIFT * sum(marked.values()) < beside:
+        return None
+    return groups[max(marked, key=lambda k: (marked[k], -k))]
 
 
 def surge_and_dive(weights: list[int]) -> tuple[int, int]:

@@ -139,6 +139,20 @@ def test_page_text_time_is_bounded():
         html_text.main_text(page)
 
 
+LONG = "Words of the article, as many as a paragraph needs to be a surge of its own among the lines of a page."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<div><article><p>A1</p><p>A2</p></article><nav>n</nav><p>x</p><p>x</p><p>x</p><article><p>B</p></article></div>",
+     "A1\nA2\nB"),
+    ("<article><p>Story</p></article><div><article><p>card</p></article></div>", "Story"),
+    (f"<main><h1>T</h1></main><div><p>{LONG}</p><p>{LONG}</p></div>", f"T\n{LONG}\n{LONG}"),
+    (f"<main><p>{LONG}</p><p><a>see also</a></p></main><p>out</p>", f"{LONG}\nsee also"),
+])
+def test_landmarks_adjust_weights(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_surge_and_dive():
     assert html_text.surge_and_dive([]) == (0, 0)
     assert html_text.surge_and_dive([0, 0, 0]) == (0, 0)
