@@ -37,6 +37,8 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
           "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: Elements whose end may be left out, or that stand alone; they never open a part of the page.
 OPEN_ENDED = {"p", "li", "dd", "dt", "td", "th", "tr", "hr", "option", "tbody", "thead", "tfoot", "html", "body"}
+#: Elements that hold the lines of one part of a page; the latter may be parts of one article.
+HOLDERS, SECTIONS = {"div", "center", "section", "article", "main"}, {"section", "article", "main"}
 SIDE_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo",
     "promotion", "banner", "sidebar", "aside", "widget", "nav", "navbar", "navigation", "menu", "breadcrumb",
@@ -65,11 +67,12 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template",
 
 class Line:
     """``landmark`` is the number of the outermost article or main element around the line, 0 without one;
-    ``group`` that of the element which holds the landmark."""
-    __slots__ = ("parts", "linked", "side", "landmark", "group")
+    ``group`` that of the element which holds the landmark; ``holder`` that of the innermost holder."""
+    __slots__ = ("parts", "linked", "side", "landmark", "group", "holder")
 
-    def __init__(self, side: bool, landmark: int, group: int):
+    def __init__(self, side: bool, landmark: int, group: int, holder: int):
         self.parts, self.linked, self.side, self.landmark, self.group = [], 0, side, landmark, group
+        self.holder = holder
 
 
 def side_of(name: str, attributes: str, names: bool, landmark: int) -> tuple[bool, bool]:
@@ -96,21 +99,23 @@ def side_of(name: str, attributes: str, names: bool, landmark: int) -> tuple[boo
     return name in ASIDE or hidden or bool(words & SIDE_WORDS), bool(words & READERS)
 
 
-def lines_of(page: str, names: bool = True) -> list[Line]:
-    """Lines of a page in order. Elements stay open until their end or that of an outer one; an article
-    or main element that begins in a menu left open ends that menu."""
-    # open elements: name, beside the article, readers' comments, landmark number, element number
+def lines_of(page: str, names: bool = True) -> tuple[list[Line], list[tuple[int, bool]]]:
+    """Lines of a page in order, and of each holder the number of the one around it and whether it is a
+    section; 0 is the page. Elements stay open until their end or that of an outer one; an
+    article or main element that begins in a menu left open ends that menu."""
+    # open elements: name, beside the article, readers' comments, landmark number, holder number
     stack: list[tuple[str, bool, bool, int, int]] = []
-    lines = [Line(False, 0, 0)]
-    groups = [0]  # of each landmark, the element that holds it
-    links, elements, at, end = 0, 0, 0, len(page)
+    lines = [Line(False, 0, 0, 0)]
+    groups = [0]  # of each landmark, the holder around it
+    holders = [(0, False)]
+    links, at, end = 0, 0, len(page)
 
     def state() -> tuple[bool, bool, int, int]:
         return stack[-1][1:] if stack else (False, False, 0, 0)
 
     def new_line() -> None:
-        side, _, landmark, _ = state()
-        lines.append(Line(side, landmark, groups[landmark]))
+        side, _, landmark, holder = state()
+        lines.append(Line(side, landmark, groups[landmark], holder))
 
     def text(value: str) -> None:
         if value:
@@ -152,8 +157,7 @@ def lines_of(page: str, names: bool = True) -> list[Line]:
         elif name == "body":
             stack.clear()
         elif name not in OPEN_ENDED and not attributes.rstrip().endswith("/"):
-            side, readers, landmark, parent = state()
-            elements += 1
+            side, readers, landmark, holder = state()
             begins, begins_readers = side_of(name, attributes, names, landmark)
             if name == "header":
                 begins |= not landmark
@@ -163,36 +167,44 @@ def lines_of(page: str, names: bool = True) -> list[Line]:
                         side = False
                     if not side and not landmark:
                         landmark = len(groups)
-                        groups.append(parent)
+                        groups.append(holder)
             side |= begins
-            stack.append((name, side, readers or begins_readers, landmark, elements))
+            if name in HOLDERS:
+                holders.append((holder, name in SECTIONS))
+                holder = len(holders) - 1
+            stack.append((name, side, readers or begins_readers, landmark, holder))
             links = 0
         elif name in ("li", "p", "td", "th") and attributes and side_of(name, attributes, names, state()[2])[0]:
             new_line()
             lines[-1].side = True
             continue
         new_line()
-    return lines
+    return lines, holders
 
 
 def main_text(page: str) -> str:
     """Lines between the surge and the dive point, joined by line ends. A page whose classes and ids would
     put all of its text aside is read again without them."""
-    return text_between(lines_of(page)) or text_between(lines_of(page, names=False))
+    return text_between(*lines_of(page)) or text_between(*lines_of(page, names=False))
 
 
-def text_between(lines: list[Line]) -> str:
+def text_between(lines: list[Line], holders: list[tuple[int, bool]]) -> str:
+    """Side parts are left out before the sums. Text of the holder that has most of the run's text is text of
+    the article, whatever lines of links stand between; these stay, as nothing says that they are side parts."""
     found = []
     for line in lines:
-        value = " ".join("".join(line.parts).split())
+        value = "" if line.side else " ".join("".join(line.parts).split())
         if value:
             found.append((value, line))
-    weights = [0 if x.side or x.linked > LINKED * len(v) else len(v) for v, x in found]
+    weights = [0 if x.linked > LINKED * len(v) else len(v) for v, x in found]
     group = article_group(found, weights)
     if group is None:
         begin, end = surge_and_dive(weights)
-        return "\n".join(v for (v, x), w in zip(found[begin:end], weights[begin:end], strict=True) if w and not x.side)
-    weights = [len(v) if x.landmark and x.group == group and not x.side else 0 for v, x in found]
+        held = in_holder_of([x.holder for _, x in found], weights, begin, end, holders)
+        more = [i for i, w in enumerate(weights) if w and held[i]]
+        begin, end = min([begin, *more[:1]]), max([end, *(i + 1 for i in more[-1:])])
+        return "\n".join(v for v, _ in found[begin:end])
+    weights = [len(v) if x.landmark and x.group == group else 0 for v, x in found]
     begin, end = surge_and_dive(weights)
     # Landmarks that one element holds are parts of one article, whatever stands between them.
     heavy = [i for i, w in enumerate(weights) if w]
@@ -200,6 +212,25 @@ def text_between(lines: list[Line]) -> str:
     return "\n".join(v for (v, _), w in zip(found[begin:end], weights[begin:end], strict=True) if w)
 
 
+def in_holder_of(
+    places: list[int], weights: list[int], begin: int, end: int, holders: list[tuple[int, bool]],
+) -> list[bool]:
+    """Whether each line stands in the innermost holder with more than half of the text of a run, or, if that
+    is a section, in the holder of the section. The page itself holds only what is in no holder within."""
+    sums = [0] * len(holders)
+    for place, weight in zip(places[begin:end], weights[begin:end], strict=True):
+        sums[place] += weight
+    for k in range(len(holders) - 1, 0, -1):  # an outer holder has the smaller number
+        sums[holders[k][0]] += sums[k]
+    most = max((k for k, n in enumerate(sums) if 2 * n > sums[0]), default=0)
+    while holders[most][1]:
+        most = holders[most][0]
+    inside = [most == 0]
+    for k, (outer, section) in enumerate(holders[1:], 1):
+        inside.append(k == most or (inside[outer] and (most > 0 or section)))
+    return [inside[k] for k in places]
+
+
 def article_group(found: list[tuple[str, Line]], weights: list[int]) -> int | None:
     """The element that holds the landmark with most text; None if landmarks weigh too little beside the rest."""
     marked: dict[int, int] = {}

@@ -153,6 +153,27 @@ def test_landmarks_adjust_weights(page, text):
     assert html_text.main_text(page) == text
 
 
+LINKS = "<ul><li><a>r1</a></li><li><a>r2</a></li><li><a>r3</a></li></ul>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    # a marked part leaves no gap, and an unmarked one does not end the article
+    (f"<div><p>{LONG}</p><p>{LONG}</p><div class='related'>{LINKS}</div><p>End of it.</p></div>",
+     f"{LONG}\n{LONG}\nEnd of it."),
+    (f"<div>{LINKS}</div><div><p>{LONG}</p>{LINKS}<p>End of it.</p></div><div>{LINKS}</div>",
+     f"{LONG}\nr1\nr2\nr3\nEnd of it."),
+    (f"<div><section><p>{LONG}</p></section>{LINKS}<section><p>End of it.</p></section></div>",
+     f"{LONG}\nr1\nr2\nr3\nEnd of it."),
+    (f"<section><p>{LONG}</p></section><form>{LINKS}</form><section><p>End of it.</p></section>", f"{LONG}\nEnd of it."),
+    (f"<div><p>{LONG}</p><p>See <a>the whole report</a></p><p>End of it.</p></div>",
+     f"{LONG}\nSee the whole report\nEnd of it."),
+    # another part of the page, behind a gap, is not the article
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div>{LINKS}<div><p>Imprint of the site</p></div>", f"{LONG}\n{LONG}"),
+])
+def test_gaps_within_an_article(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_surge_and_dive():
     assert html_text.surge_and_dive([]) == (0, 0)
     assert html_text.surge_and_dive([0, 0, 0]) == (0, 0)
