@@ -26,6 +26,10 @@ SURGE = 80
 LINKED = 0.5
 #: Text in article and main elements counts so many times when it is weighed against the text beside them.
 LIFT = 10
+#: A part whose name puts it aside, but that holds more than so many times the text left, is no side part.
+OUTWEIGHS = 3
+#: Share of the heaviest part's text that a part within must have to be taken for the same, and readings of a page.
+LEAST_SHARE, MOST_READINGS = 0.9, 3
 
 # Element names of HTML by what they mean for text.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "canvas", "iframe", "object", "select", "textarea",
@@ -50,7 +54,9 @@ SIDE_WORDS = {
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog",
               "menu", "menubar", "form"}
 #: Words at the start of a name that tell what a part has, not what it is.
-HAVING = {"has", "with", "without", "no", "is", "js"}
+HAVING = {"has", "with", "without", "no", "is", "js", "layout"}
+#: Words at the end of a longer name that do the same.
+STATES = {"open", "opened", "closed", "enabled", "disabled", "on", "off", "allowed"}
 #: Heads of a page, unless their name says that they are those of an article.
 HEADS, OF_ARTICLE = {"header"}, {"article", "post", "entry", "story", "content", "title"}
 READERS = {"comment", "comments", "commentlist", "respond", "disqus", "discussion", "replies", "reply", "reviews",
@@ -67,55 +73,77 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template",
 
 class Line:
     """``landmark`` is the number of the outermost article or main element around the line, 0 without one;
-    ``group`` that of the element which holds the landmark; ``holder`` that of the innermost holder."""
-    __slots__ = ("parts", "linked", "side", "landmark", "group", "holder")
+    ``group`` that of the element which holds the landmark; ``holder`` that of the innermost holder.
+    ``named`` is the number of the innermost part that only its name puts aside, 0 without one; ``side`` says
+    that element or role do so."""
+    __slots__ = ("parts", "linked", "side", "landmark", "group", "holder", "named")
 
-    def __init__(self, side: bool, landmark: int, group: int, holder: int):
+    def __init__(self, side: bool, landmark: int, group: int, holder: int, named: int):
         self.parts, self.linked, self.side, self.landmark, self.group = [], 0, side, landmark, group
-        self.holder = holder
+        self.holder, self.named = holder, named
 
+    def value(self) -> str:
+        return " ".join("".join(self.parts).split())
 
-def side_of(name: str, attributes: str, names: bool, landmark: int) -> tuple[bool, bool]:
-    """Whether an element begins a part beside the article, and whether it holds readers' comments; by its
-    classes and id too, if ``names`` count."""
+
+def side_of(name: str, attributes: str, landmark: int) -> tuple[bool, bool, bool]:
+    """Whether an element begins a part beside the article, whether its classes or id say so, and whether they
+    say that it holds readers' comments."""
     if not attributes:
-        return name in ASIDE, False
+        return name in ASIDE, False, False
     words: set[str] = set()
-    hidden = False
+    hidden = head = False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and names:
+        if key in ("class", "id"):
             for part in value.lower().split():
                 own = WORD.findall(part)
-                if own and own[0] not in HAVING:
+                if own and own[0] not in HAVING and (len(own) == 1 or own[-1] not in STATES):
                     words.update(own)
-                    hidden |= not landmark and bool(HEADS & {*own}) and not OF_ARTICLE & {*own}
+                    head |= not landmark and bool(HEADS & {*own}) and not OF_ARTICLE & {*own}
         elif key == "role":
             hidden |= value.lower() in SIDE_ROLES
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             hidden = True
         elif key == "style":
             hidden |= "display:none" in value.replace(" ", "").lower()
-    return name in ASIDE or hidden or bool(words & SIDE_WORDS), bool(words & READERS)
+    return name in ASIDE or hidden, head or bool(words & SIDE_WORDS), bool(words & READERS)
+
+
+class Page:
+    """``lines`` in order; of each holder, the number of the one around it and whether it is a section; of each
+    part that its name puts aside, the number of the one around it, the element's place in the page and
+    whether it holds readers' comments. Number 0 is the page itself."""
 
+    def __init__(self):
+        self.lines = [Line(False, 0, 0, 0, 0)]
+        self.holders: list[tuple[int, bool]] = [(0, False)]
+        self.named: list[tuple[int, int, bool]] = [(0, -1, False)]
 
-def lines_of(page: str, names: bool = True) -> tuple[list[Line], list[tuple[int, bool]]]:
-    """Lines of a page in order, and of each holder the number of the one around it and whether it is a
-    section; 0 is the page. Elements stay open until their end or that of an outer one; an
-    article or main element that begins in a menu left open ends that menu."""
-    # open elements: name, beside the article, readers' comments, landmark number, holder number
-    stack: list[tuple[str, bool, bool, int, int]] = []
-    lines = [Line(False, 0, 0, 0)]
+
+def lines_of(page: str, names: bool = True, disbelieved: frozenset[int] = frozenset()) -> Page:
+    """Lines of a page. Elements stay open until their end or that of an outer one; an article or main element
+    that begins in a menu left open ends that menu. Names of elements at the places ``disbelieved``
+    do not count, and none without ``names``."""
+    # open elements: name, beside the article, readers' comments, landmark number, holder number, named part
+    stack: list[tuple[str, bool, bool, int, int, int]] = []
+    read = Page()
+    lines, holders = read.lines, read.holders
     groups = [0]  # of each landmark, the holder around it
-    holders = [(0, False)]
     links, at, end = 0, 0, len(page)
 
-    def state() -> tuple[bool, bool, int, int]:
-        return stack[-1][1:] if stack else (False, False, 0, 0)
+    def state() -> tuple[bool, bool, int, int, int]:
+        return stack[-1][1:] if stack else (False, False, 0, 0, 0)
 
     def new_line() -> None:
-        side, _, landmark, holder = state()
-        lines.append(Line(side, landmark, groups[landmark], holder))
+        side, _, landmark, holder, named = state()
+        lines.append(Line(side, landmark, groups[landmark], holder, named))
+
+    def begun(name: str, attributes: str) -> tuple[bool, bool, bool]:
+        own, by_name, readers = side_of(name, attributes, state()[2])
+        believed = names and at not in disbelieved
+        return own, by_name and believed, readers and believed
+
 
     def text(value: str) -> None:
         if value:
@@ -157,50 +185,97 @@ def lines_of(page: str, names: bool = True) -> tuple[list[Line], list[tuple[int,
         elif name == "body":
             stack.clear()
         elif name not in OPEN_ENDED and not attributes.rstrip().endswith("/"):
-            side, readers, landmark, holder = state()
-            begins, begins_readers = side_of(name, attributes, names, landmark)
+            side, readers, landmark, holder, named = state()
+            begins, by_name, begins_readers = begun(name, attributes)
             if name == "header":
                 begins |= not landmark
             if name in ("article", "main"):
-                if not readers and not begins_readers and not begins:
-                    if side and not any(x[0] in ("aside", "footer") for x in stack):
-                        side = False
-                    if not side and not landmark:
+                if not readers and not begins_readers and not begins and not by_name:
+                    if (side or named) and not any(x[0] in ("aside", "footer") for x in stack):
+                        side, named = False, 0
+                    if not side and not named and not landmark:
                         landmark = len(groups)
                         groups.append(holder)
             side |= begins
+            if by_name and not begins:
+                read.named.append((named, at, begins_readers))
+                named = len(read.named) - 1
             if name in HOLDERS:
                 holders.append((holder, name in SECTIONS))
                 holder = len(holders) - 1
-            stack.append((name, side, readers or begins_readers, landmark, holder))
+            stack.append((name, side, readers or begins_readers, landmark, holder, named))
             links = 0
-        elif name in ("li", "p", "td", "th") and attributes and side_of(name, attributes, names, state()[2])[0]:
+        elif name in ("li", "p", "td", "th") and attributes:
+            begins, by_name, begins_readers = begun(name, attributes)
             new_line()
-            lines[-1].side = True
+            lines[-1].side |= begins
+            if by_name and not begins:
+                read.named.append((lines[-1].named, at, begins_readers))
+                lines[-1].named = len(read.named) - 1
             continue
         new_line()
-    return lines, holders
+    return read
 
 
 def main_text(page: str) -> str:
-    """Lines between the surge and the dive point, joined by line ends. A page whose classes and ids would
-    put all of its text aside is read again without them."""
-    return text_between(*lines_of(page)) or text_between(*lines_of(page, names=False))
-
-
-def text_between(lines: list[Line], holders: list[tuple[int, bool]]) -> str:
+    """Lines between the surge and the dive point, joined by line ends. Names that would put the article itself
+    aside are not believed; a page that has no text then is read again without any."""
+    read, disbelieved = lines_of(page), frozenset()
+    for _ in range(MOST_READINGS):
+        more = outweighing(read)
+        if not more:
+            break
+        disbelieved |= more
+        read = lines_of(page, disbelieved=disbelieved)
+    return text_between(read) or text_between(lines_of(page, names=False))
+
+
+def outweighing(read: Page) -> frozenset[int]:
+    """Places of elements that their names put aside though they hold the article. Such an element has a surge
+    of text of its own, and OUTWEIGHS times the text that is not aside; readers' comments may well have
+    more text than the article, so these count only if no surge is left. The heaviest part
+    comes with the parts around and within it that have nearly all of its text."""
+    if len(read.named) == 1:
+        return frozenset()
+    sums, weights = [0] * len(read.named), []
+    for line in read.lines:
+        value = "" if line.side else line.value()
+        weight = 0 if line.linked > LINKED * len(value) else len(value)
+        sums[line.named] += weight
+        weights.append(weight)
+    left = sums[0]
+    for k in range(len(sums) - 1, 0, -1):  # an outer part has the smaller number
+        sums[read.named[k][0]] += sums[k]
+    for readers in (False, True):
+        held = [k for k in range(1, len(sums)) if read.named[k][2] == readers and sums[k] >= SURGE]
+        most = max(held, key=lambda k: (sums[k], -k), default=0)
+        if most and (left < SURGE if readers else True) and sums[most] > OUTWEIGHS * left:
+            places, k = {read.named[most][1]}, read.named[most][0]
+            while k:
+                places.add(read.named[k][1])
+                k = read.named[k][0]
+            inner = most
+            for k in range(most + 1, len(sums)):
+                if read.named[k][0] == inner and sums[k] > LEAST_SHARE * sums[most] and read.named[k][2] <= readers:
+                    places.add(read.named[k][1])
+                    inner = k
+            return frozenset(places)
+    return frozenset()
+
+
+def text_between(read: Page) -> str:
     """Side parts are left out before the sums. Text of the holder that has most of the run's text is text of
     the article, whatever lines of links stand between; these stay, as nothing says that they are side parts."""
     found = []
-    for line in lines:
-        value = "" if line.side else " ".join("".join(line.parts).split())
+    for line in read.lines:
+        value = "" if line.side or line.named else line.value()
         if value:
             found.append((value, line))
     weights = [0 if x.linked > LINKED * len(v) else len(v) for v, x in found]
     group = article_group(found, weights)
     if group is None:
         begin, end = surge_and_dive(weights)
-        held = in_holder_of([x.holder for _, x in found], weights, begin, end, holders)
+        held = in_holder_of([x.holder for _, x in found], weights, begin, end, read.holders)
         more = [i for i, w in enumerate(weights) if w and held[i]]
         begin, end = min([begin, *more[:1]]), max([end, *(i + 1 for i in more[-1:])])
         return "\n".join(v for v, _ in found[begin:end])

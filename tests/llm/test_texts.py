@@ -174,6 +174,27 @@ def test_gaps_within_an_article(page, text):
     assert html_text.main_text(page) == text
 
 
+ARTICLE = f"<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+ARTICLE_TEXT = "\n".join([LONG] * 3)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<h1>T</h1><div class='layout-right-sidebar'>{ARTICLE}</div>", f"T\n{ARTICLE_TEXT}"),
+    (f"<h1>T</h1><div class='comments-open'>{ARTICLE}</div>", f"T\n{ARTICLE_TEXT}"),
+    (f"<h1>T</h1><main class='site-main content-sidebar'>{ARTICLE}</main>", ARTICLE_TEXT),
+    (f"<h1>T</h1><div class='two sidebar-right'><div class='inner-sidebar'>{ARTICLE}</div></div>", f"T\n{ARTICLE_TEXT}"),
+    (f"<h1>T</h1><div id='search'>{ARTICLE}<div class='sidebar'><p>s</p></div></div>", f"T\n{ARTICLE_TEXT}"),
+    (f"<h1>T</h1><div class='discussion'>{ARTICLE}</div>", f"T\n{ARTICLE_TEXT}"),
+    # comments may be longer than the article, also than one whose holder has a wrong name
+    (f"<div><p>{LONG}</p></div><div id='comments'>{ARTICLE * 5}</div>", LONG),
+    (f"<div class='main-sidebar'><p>{LONG}</p></div><div id='comments'>{ARTICLE * 5}</div>", LONG),
+    (f"<div class='page-sidebar'><p>{LONG}</p><div id='comments'>{ARTICLE * 5}</div></div>", LONG),
+    (f"<div>{ARTICLE}</div><div class='sidebar'>{ARTICLE}</div>", ARTICLE_TEXT),
+])
+def test_names_are_weighed_against_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_surge_and_dive():
     assert html_text.surge_and_dive([]) == (0, 0)
     assert html_text.surge_and_dive([0, 0, 0]) == (0, 0)
