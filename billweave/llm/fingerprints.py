@@ -128,20 +128,26 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
 def with_next(df: DataFrame, key: str, carried: list[str], ranges_per_task: int = 4) -> DataFrame:
     """Adds ``next_<column>`` from the row that follows in the order of ``key``; the first follows the last.
 
-    Rows are dealt into ranges of the key whose bounds are keys of the table, taken from approximate
-    quantiles; the rows at the start of a range go to the range before as well, where they only
-    end the order. Null keys come first; rows of one key are ordered by the carried columns.
+    Rows are dealt into ranges of the key by approximate quantiles, which are worked out in doubles and
+    need not be keys of the table; so the bounds are the least keys of these ranges. The rows at
+    the start of a range go to the range before as well, where they only end the order. Null
+    keys come first; rows of one key are ordered by the carried columns.
     """
     spark = df.sparkSession
     number = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * ranges_per_task)
     order = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     facts = df.select(order.alias("k")).agg(
         F.min("k"), F.percentile_approx("k", [i / number for i in range(1, number)] or [1.0])).first()
-    bounds = sorted({facts[0], *(facts[1] or [])} - {None})
-    if not bounds:
+    cuts = sorted({facts[0], *(facts[1] or [])} - {None})
+    if not cuts:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    held = numbers(bounds, "bigint")
-    at = F.size(F.filter(held, lambda b: b <= F.col("__order")))
+
+    def range_of(value: Column, bounds: list[int]) -> Column:
+        return F.size(F.filter(numbers(bounds, "bigint"), lambda b: b <= value))
+
+    leasts = df.select(order.alias("k")).groupBy(range_of(F.col("k"), cuts)).agg(F.min("k").alias("least"))
+    bounds = sorted(r.least for r in leasts.collect())
+    held, at = numbers(bounds, "bigint"), range_of(F.col("__order"), bounds)
     before = F.when(F.col("__order") == F.element_at(held, F.col("__range")), F.struct(
         F.when(F.col("__range") == 1, F.lit(len(bounds))).otherwise(F.col("__range") - 1).alias("range"),
         (F.col("__range") == 1).alias("behind"), F.lit(False).alias("own")))

@@ -101,6 +101,15 @@ def test_next_row_over_many_ranges(spark):
     assert [n for _, n in got] == [*names[1:], names[0]]
 
 
+@pytest.mark.parametrize("step", [1, 1000, 10**15 + 7])
+def test_next_row_of_keys_beyond_doubles(spark, step):
+    keys = [2**62 + 1 + i * step for i in range(500)] + [-(2**62) - 1 - i * step for i in range(500)] + [2**63 - 1, 2**63 - 2]
+    df = spark.createDataFrame([(k, str(k)) for k in keys], SCHEMA)
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, "doc_id", ["text"]).collect()}
+    order = sorted(keys)
+    assert got == {k: str(following) for k, following in zip(order, [*order[1:], order[0]], strict=True)}
+
+
 PAGE = """<html><head><title>x</title></head><body><div id="header"><a href="/">Site</a> Slogan</div>
 <div class="menu"><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>
 <div class="cookie-notice">We use cookies to make this site better for you all of the time.</div>
