@@ -175,12 +175,10 @@ def build_index(df: DataFrame, text: str = "text", min_chars: int = 1, shard_key
     return stored(packed.withColumn("number", F.lit(number)), folder, "shards")
 
 
-def sharded_hits(df: DataFrame, index: DataFrame, text: str, min_docs: int, min_chars: int, rows: int) -> DataFrame:
-    """For an index too large for every executor: keys of documents go, without their texts, to the
-    shards, each shard's in as many parts as keep a part near ``rows`` rows; back come, for
-    each text digest, the keys to drop."""
-    number = index.agg(F.max("number")).first()[0] or 1
-
+def dealt_keys(df: DataFrame, number: int, text: str, min_chars: int, rows: int) -> tuple[DataFrame, int]:
+    """Distinct keys of each text digest (digest, low, high, shard, part), stored, and the number of parts: as
+    many as keep a part of a shard near ``rows`` rows. Equal texts come down to one before any
+    exchange, and parts are dealt by digest and key, so neither copies nor a common line meet in one part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in texts(batch.column(0)):
@@ -191,11 +189,18 @@ def sharded_hits(df: DataFrame, index: DataFrame, text: str, min_docs: int, min_
                      pa.array(high.view(np.int64)), pa.array(shard_of(high, number))],
                     names=["digest", "low", "high", "shard"])
 
-    keys = df.select(text).mapInArrow(run, "digest binary, low long, high long, shard long")
+    keys = df.select(text).mapInArrow(run, "digest binary, low long, high long, shard long").distinct()
     keys = stored(keys, work_folder(df.sparkSession, "lines"), "keys")
     most = keys.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     parts = max(1, -(-most // rows))
-    keys = keys.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts)))
+    return keys.withColumn("part", F.pmod(F.xxhash64("digest", "low", "high"), F.lit(parts))), parts
+
+
+def sharded_hits(df: DataFrame, index: DataFrame, text: str, min_docs: int, min_chars: int, rows: int) -> DataFrame:
+    """For an index too large for every executor: distinct keys of documents go, without their texts, to the
+    parts of the shards; back come, for each text digest, the keys to drop."""
+    number = index.agg(F.max("number")).first()[0] or 1
+    keys, parts = dealt_keys(df, number, text, min_chars, rows)
     spread = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def probe(rows: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from billweave.llm import decontamination, line_dedup, near_dup, quality, toxicity, url_rules
 from billweave.llm.components import components
-from billweave.llm.tables import work_folder
+from billweave.llm.tables import stored, work_folder
 
 SCHEMA = "doc_id long, text string"
 
@@ -42,6 +42,26 @@ def test_lines(spark, broadcast_bytes):
     assert line_dedup.line_dedup(df.limit(0), broadcast_bytes=broadcast_bytes).count() == 0
 
 
+def test_keys_of_copies_do_not_meet_in_one_part(spark, monkeypatch):
+    copy = "\n".join(f"line {i}" for i in range(20))
+    texts = [copy] * 300 + [f"own {i}\nline 0" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    seen = []
+
+    def spied(df, folder, name):
+        seen.append((name, df))
+        return stored(df, folder, name)
+
+    monkeypatch.setattr(line_dedup, "stored", spied)
+    got = line_dedup.line_dedup(df, 10, broadcast_bytes=0, part_rows=100).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_dropped, r.kept_text) for r in got] == dropped_lines(texts, 10)
+    keys = dict(seen)["keys"]
+    assert keys.count() == keys.distinct().count() == 20 + 2 * 300
+    dealt, parts = line_dedup.dealt_keys(df, 1, "text", 1, 100)
+    sizes = [r["count"] for r in dealt.groupBy("shard", "part").count().collect()]
+    assert parts == 7 and max(sizes) < 150
+
+
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_contamination(spark, broadcast_bytes):
     rnd = random.Random(2)
