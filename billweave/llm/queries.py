@@ -11,6 +11,7 @@ from billweave.llm.decontamination import contamination
 from billweave.llm.fingerprints import edited_fingerprints
 from billweave.llm.html_text import page_texts
 from billweave.llm.line_dedup import line_dedup
+from billweave.llm.manifest import merkle_manifest
 from billweave.llm.near_dup import near_duplicates
 from billweave.llm.quality import quality_scores
 from billweave.llm.tables import table
@@ -80,6 +81,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).drop("url")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every_fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered=every_fifth).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_bpe": op2_bpe,
@@ -91,6 +98,7 @@ QUERIES = {
     "op8_warc_packages": op8_warc_packages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_url_rules": op10_url_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 CHECK_SQL: dict[str, str] = {}
@@ -192,3 +200,63 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
   d.doc_id = least(d.doc_id, coalesce(b, d.doc_id)) AS kept
 FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least l ON d.doc_id = l.doc_id
 """
+
+CHECK_SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE parts AS (
+  SELECT row_number() OVER () AS id, doc_id, source, text,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+      lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295)
+      % 5 = 0 AS tampered
+  FROM documents),
+leaves AS (
+  SELECT id, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN tampered THEN sha256(head || coalesce(strlen(lower_text) || ':' || lower_text, '-')) END AS other FROM parts),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes(tree, level, pos, n, digest) AS (
+  SELECT source, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes
+  WHERE n > 1 GROUP BY tree, level, pos // 16, n),
+subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops(level, pos, n, digest) AS (
+  SELECT 0, pos, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops
+  WHERE n > 1 GROUP BY level, pos // 16, n),
+root AS (SELECT digest AS root FROM tops WHERE n = 1),
+own AS (
+  SELECT p.*, s.digest AS subroot, s.pos AS top_pos FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.tree),
+siblings AS (
+  SELECT o.id, 0 AS part, k.level, k.pos, k.digest FROM own o JOIN nodes k ON o.source IS NOT DISTINCT FROM k.tree
+    AND k.n > 1 AND k.pos // 16 = (o.pos >> (4 * k.level)) // 16 AND k.pos <> o.pos >> (4 * k.level)
+  UNION ALL
+  SELECT o.id, 1, k.level, k.pos, k.digest FROM own o JOIN tops k
+    ON k.n > 1 AND k.pos // 16 = (o.top_pos >> (4 * k.level)) // 16 AND k.pos <> o.top_pos >> (4 * k.level)),
+proofs AS (SELECT id, sha256(string_agg(digest, '' ORDER BY part, level, pos)) AS proof FROM siblings GROUP BY id),
+fold(id, tree, level, pos, n, digest) AS (
+  SELECT id, source, 0, pos, n, coalesce(other, leaf) FROM own
+  UNION ALL
+  SELECT f.id, f.tree, f.level + 1, f.pos // 16, (f.n + 15) // 16,
+    sha256(string_agg(CASE WHEN k.pos = f.pos THEN f.digest ELSE k.digest END, '' ORDER BY k.pos))
+  FROM fold f JOIN nodes k ON f.tree IS NOT DISTINCT FROM k.tree AND f.level = k.level AND f.pos // 16 = k.pos // 16
+  WHERE f.n > 1 GROUP BY f.id, f.tree, f.level, f.pos, f.n),
+fold_top(id, level, pos, n, digest) AS (
+  SELECT o.id, 0, o.top_pos, s.n, f.digest FROM own o JOIN fold f ON o.id = f.id AND f.n = 1 JOIN subroots s
+    ON s.pos = o.top_pos
+  UNION ALL
+  SELECT f.id, f.level + 1, f.pos // 16, (f.n + 15) // 16,
+    sha256(string_agg(CASE WHEN k.pos = f.pos THEN f.digest ELSE k.digest END, '' ORDER BY k.pos))
+  FROM fold_top f JOIN tops k ON f.level = k.level AND f.pos // 16 = k.pos // 16
+  WHERE f.n > 1 GROUP BY f.id, f.level, f.pos, f.n)
+SELECT o.doc_id, o.leaf, o.subroot, r.root, coalesce(p.proof, sha256('')) AS proof_sha256, t.digest AS folded_root,
+  t.digest = r.root AS verified
+FROM own o CROSS JOIN root r JOIN fold_top t ON o.id = t.id AND t.n = 1 LEFT JOIN proofs p ON o.id = p.id
+"""
