@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billweave.llm.alignment import align_tokens
 from billweave.llm.bpe import encode_decode
 from billweave.llm.decontamination import contamination
 from billweave.llm.fingerprints import edited_fingerprints
@@ -81,6 +82,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).drop("url")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     every_fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return merkle_manifest(table(spark, sf_dir, "documents"), tampered=every_fifth).select(
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_warc_packages": op8_warc_packages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_url_rules": op10_url_rules,
+    "op11_token_alignment": op11_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
