@@ -15,6 +15,7 @@ from billweave.llm.line_dedup import line_dedup
 from billweave.llm.manifest import merkle_manifest
 from billweave.llm.near_dup import near_duplicates
 from billweave.llm.quality import quality_scores
+from billweave.llm.suffix_dedup import remove_repeats
 from billweave.llm.tables import table
 from billweave.llm.toxicity import toxicity_scores
 from billweave.llm.url_rules import judge_urls
@@ -87,6 +88,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=400).drop("kept")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     every_fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return merkle_manifest(table(spark, sf_dir, "documents"), tampered=every_fifth).select(
@@ -105,6 +111,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_url_rules": op10_url_rules,
     "op11_token_alignment": op11_token_alignment,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
