@@ -11,8 +11,10 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,9 @@ ARITY = 8
 CACHED_PIECES, CACHED_LENGTH = 150_000, 64
 MOST_BROADCAST = 1 << 21
 
+#: White space, or an end, behind a space or at the begin: not every space stands in front of a piece.
+MORE_SPACE = re.compile(r"(?:^| )(?:\s|$)")
+
 Tokens = tuple[np.ndarray, np.ndarray]  # ids and byte lengths
 
 
@@ -193,13 +198,14 @@ class TwoTokenizers:
                         for i, m in enumerate(marks)]
         self.a_length, self.b_length = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.largest = max(len(self.a_bytes), len(self.b_bytes))
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known_a: dict[str, bytes | None] = {}
+        self.known_b: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Pieces of a space and a text, each without its first space."""
         parts = text.split(" ")
-        if all(p and not p[0].isspace() for p in parts):
+        if not MORE_SPACE.search(text):
             return parts
         pieces = [parts[0]]
         for p in parts[1:]:
@@ -210,37 +216,50 @@ class TwoTokenizers:
         return pieces
 
     def learn(self, wanted: set[str]) -> None:
-        new = [p for p in wanted if p not in self.known]
+        new = list(wanted.difference(self.known_a))
         for start in range(0, len(new), 20_000):
             part = new[start:start + 20_000]
-            encoded = self.a.encode_batch_fast([" " + p for p in part], add_special_tokens=False)
-            for piece, a, b in zip(part, encoded, self.b.encode(part, num_threads=1), strict=True):
-                a, raw = a.ids, (" " + piece).encode()
-                same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-                self.known[piece] = (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if same else None
-
-    def forget(self) -> None:
-        """Keep short pieces, as long as they are not too many."""
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        else:
-            for piece in [p for p in self.known if len(p) > CACHED_LENGTH]:
-                del self.known[piece]
+            spaced = [" " + p for p in part]
+            raw = [p.encode() for p in spaced]
+            length = np.array([len(r) for r in raw], np.int64)
+            sides = ([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(part, num_threads=1))
+            same = np.ones(len(part), bool)
+            for ids, token_bytes, sizes, known in zip(
+                    sides, (self.a_bytes, self.b_bytes), (self.a_length, self.b_length), (self.known_a, self.known_b), strict=True):
+                flat = np.fromiter(chain.from_iterable(ids), np.int32)
+                ends = np.cumsum(np.fromiter(map(len, ids), np.int64))
+                packed, cuts = flat.tobytes(), (4 * ends).tolist()
+                known.update(zip(part, map(packed.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+                size = np.add.reduceat(sizes[flat], np.append(0, ends[:-1]))
+                if (size != length).any() or b"".join(map(token_bytes.__getitem__, flat.tolist())) != b"".join(raw):
+                    same &= [b"".join([token_bytes[t] for t in i]) == r for i, r in zip(ids, raw, strict=True)]
+            self.known_a.update((part[i], None) for i in np.flatnonzero(~same).tolist())
+
+    def forget(self, wanted: set[str]) -> None:
+        """Keep short pieces; if they are too many, those met last."""
+        known = wanted if len(self.known_a) > CACHED_PIECES else self.known_a
+        if known is wanted or any(len(p) > CACHED_LENGTH for p in wanted):
+            kept = [p for p in known if len(p) <= CACHED_LENGTH]
+            self.known_a, self.known_b = ({p: k[p] for p in kept} for k in (self.known_a, self.known_b))
 
     def tokens(self, texts: list[list[str]]) -> tuple[list[bool], Tokens, Tokens, np.ndarray, np.ndarray]:
         """Of texts in pieces: which keep their bytes, the tokens of these one behind the other, and the numbers of
         tokens of each."""
-        self.learn(set().union(*texts))
+        wanted = set().union(*texts)
+        self.learn(wanted)
         kept, a, b = [], [], []
         for pieces in texts:
-            found = [self.known[p] for p in pieces]
-            kept.append(None not in found)
-            if kept[-1]:
-                a.append(b"".join([x for x, _ in found]))
-                b.append(b"".join([y for _, y in found]))
+            try:
+                own = b"".join(map(self.known_a.__getitem__, pieces))
+            except TypeError:  # a piece that loses bytes
+                kept.append(False)
+                continue
+            kept.append(True)
+            a.append(own)
+            b.append(b"".join(map(self.known_b.__getitem__, pieces)))
         a_ids, b_ids = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in (a, b))
         sizes = [np.array([len(x) // 4 for x in side], np.int64) for side in (a, b)]
-        self.forget()
+        self.forget(wanted)
         return kept, (a_ids, self.a_length[a_ids]), (b_ids, self.b_length[b_ids]), *sizes
 
 
