@@ -2,9 +2,10 @@
 
 Where two texts share a string of ``length`` bytes, they share its least hashed substring, so each begin of such a string goes
 to the group of that hash; a hash met once can't hold a repeat. Of the others, neighbouring begins of one hash make a
-region, equal regions are one row with a count, and regions are dealt to shards by hash. A shard's regions are sorted by their
-suffixes (``suffix_sort``, in a fixed amount of memory whatever the shard's size); suffixes that share ``length`` bytes are
-repeats. Their bytes are then removed from all texts that hold the region.
+region, equal regions are one row with a count, and regions are dealt to shards by hash: by the least hash met near any
+region of that hash, so that regions that follow one another mostly lie in one shard and are one part of its text. A shard's
+parts are sorted by their suffixes (``suffix_sort``, in a fixed amount of memory whatever the shard's size); suffixes that share
+``length`` bytes are repeats. Their bytes are then removed from all texts that hold the region.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (
     ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType,
 )
@@ -26,6 +28,7 @@ from billweave.llm.suffix_sort import Scratch, sorted_suffixes
 from billweave.llm.tables import BATCH_ROWS, stored, texts, with_python_columns, work_folder
 
 SEED_BYTES = 128
+NEIGHBOURS = 4
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 4 << 20
 SORT_MEMORY = 256 << 20
@@ -87,9 +90,18 @@ def regions(data: bytes, length: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return least[begins].view(np.int64), begins, ends + length - 1, hits
 
 
-def repeats(parts: list[bytes], counts: list[int], length: int, scratch: Scratch) -> list[list[tuple[int, int]]]:
-    """For each part, the stretches covered by strings of ``length`` bytes that occur twice or more in all parts; a
-    part stands for as many copies as its count."""
+def near_least(least: np.ndarray) -> np.ndarray:
+    """Least hash of each region and of those up to NEIGHBOURS places away."""
+    edge = np.full(NEIGHBOURS, np.iinfo(np.int64).max)
+    return least_of(np.concatenate([edge, least, edge]), 2 * NEIGHBOURS + 1)
+
+
+Region = tuple[int, int, int]  # offset in its part, size, how many copies it stands for
+
+
+def repeats(parts: list[bytes], inside: list[list[Region]], length: int, scratch: Scratch) -> list[list[list[tuple[int, int]]]]:
+    """For each region of each part, the stretches covered by strings of ``length`` bytes that begin in it and occur twice or
+    more in all parts, counted from the region's begin."""
     starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
     text = scratch.array(int(starts[-1]) + 1, np.int32)
     for start, part in zip(starts, parts, strict=False):
@@ -103,13 +115,15 @@ def repeats(parts: list[bytes], counts: list[int], length: int, scratch: Scratch
     again[order[close]] = True
     again[order[close - 1]] = True
     out = []
-    for start, part, count in zip(starts.tolist(), parts, counts, strict=False):
-        own = again[start:start + len(part) - length + 1]
-        begins = np.arange(len(own)) if count > 1 else np.flatnonzero(own)
-        gap = np.flatnonzero(np.diff(begins) > 1)
-        first, last = (np.concatenate(x).astype(np.int64) for x in (
-            (begins[:1], begins[gap + 1]), (begins[gap], begins[-1:])))
-        out.append(joined_stretches(list(zip(first.tolist(), (last + length).tolist(), strict=True))))
+    for start, own in zip(starts.tolist(), inside, strict=False):
+        out.append([])
+        for offset, size, count in own:
+            marked = again[start + offset:start + offset + size - length + 1]
+            begins = np.arange(len(marked)) if count > 1 else np.flatnonzero(marked)
+            gap = np.flatnonzero(np.diff(begins) > 1)
+            first, last = (np.concatenate(x).astype(np.int64) for x in (
+                (begins[:1], begins[gap + 1]), (begins[gap], begins[-1:])))
+            out[-1].append(joined_stretches(list(zip(first.tolist(), (last + length).tolist(), strict=True))))
     return out
 
 
@@ -128,11 +142,12 @@ PLACES = ArrayType(StructType([StructField("begin", IntegerType(), False), Struc
 
 
 def region_table(texts_by_key: DataFrame, length: int, seed: int) -> DataFrame:
-    """``key, least, digest, begin, size, hits`` of the regions of all texts, which have ``length`` bytes at least."""
+    """``key, least, digest, begin, size, hits, near`` of the regions of all texts, which have ``length`` bytes at least."""
     schema = StructType([
         StructField("key", BinaryType()), StructField("least", LongType()), StructField("digest", BinaryType()),
-        StructField("begin", IntegerType()), StructField("size", IntegerType()), StructField("hits", LongType())])
-    arrow = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+        StructField("begin", IntegerType()), StructField("size", IntegerType()), StructField("hits", LongType()),
+        StructField("near", LongType())])
+    arrow = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,51 +155,65 @@ def region_table(texts_by_key: DataFrame, length: int, seed: int) -> DataFrame:
                 part = batch.slice(at, 200)
                 rows: list[list] = [[] for _ in arrow]
                 for key, data in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                    least, begin, end, hits = (x.tolist() for x in regions(data, length, seed))
+                    found = regions(data, length, seed)
+                    least, begin, end, hits, near = (x.tolist() for x in (*found, near_least(found[0])))
                     digests = [xxhash.xxh3_128_digest(data[i:j]) for i, j in zip(begin, end, strict=True)]
                     sizes = [j - i for i, j in zip(begin, end, strict=True)]
-                    for column, values in zip(rows, ([key] * len(least), least, digests, begin, sizes, hits), strict=True):
+                    for column, values in zip(rows, ([key] * len(least), least, digests, begin, sizes, hits, near), strict=True):
                         column += values
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, arrow, strict=True)], names=schema.names)
 
     return texts_by_key.mapInArrow(run, schema)
 
 
-def region_texts(wanted: DataFrame, texts_by_key: DataFrame) -> DataFrame:
-    """``least, digest, count, part`` of regions given by ``key, begin, size``; a copy of a text that follows it in a task is
-    passed over, other copies give a region twice, which its shard notices."""
-    schema = StructType([StructField("least", LongType()), StructField("digest", BinaryType()),
-                         StructField("count", LongType()), StructField("part", BinaryType())])
-    arrow = pa.schema([("least", pa.int64()), ("digest", pa.binary()), ("count", pa.int64()), ("part", pa.binary())])
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("least", "digest", "count", "begin", "size")).alias("own"))
+REGIONS = ArrayType(StructType([
+    StructField("least", LongType()), StructField("digest", BinaryType()), StructField("count", LongType()),
+    StructField("offset", IntegerType()), StructField("size", IntegerType())]), False)
+
+
+def region_texts(lists: DataFrame, texts_by_key: DataFrame, length: int) -> DataFrame:
+    """``near, part, own``: texts of the regions of ``key, regions`` rows. Regions of one text and one ``near`` that follow one
+    another are one part. A copy of a text that comes behind it in a task is passed over; other copies
+    give a region twice, which its shard notices."""
+    schema = StructType([StructField("near", LongType()), StructField("part", BinaryType()), StructField("own", REGIONS)])
+    arrow = to_arrow_schema(schema)
+
+    def parts(data: bytes, found: list[dict]) -> Iterator[dict]:
+        run: list[dict] = []
+        for region in [*sorted(found, key=lambda r: r["begin"]), None]:
+            if run and (region is None or region["near"] != run[-1]["near"]
+                        or region["begin"] != run[-1]["begin"] + run[-1]["size"] - length + 1):
+                start = run[0]["begin"]
+                yield {"near": run[0]["near"], "part": data[start:run[-1]["begin"] + run[-1]["size"]], "own": [
+                    {"least": r["least"], "digest": r["digest"], "count": r["count"], "offset": r["begin"] - start,
+                     "size": r["size"]} for r in run]}
+                run = []
+            run.append(region)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             for i in range(batch.num_rows):
                 key = batch.column("key")[i].as_py()
-                if key == last:
-                    continue
-                last, data = key, (batch.column("text")[i].as_py() or "").encode()
-                rows = [{"least": r["least"], "digest": r["digest"], "count": r["count"],
-                         "part": data[r["begin"]:r["begin"] + r["size"]]} for r in batch.column("own")[i].as_py()]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                if key != last:
+                    last, data = key, (batch.column("text")[i].as_py() or "").encode()
+                    yield pa.RecordBatch.from_pylist(list(parts(data, batch.column("regions")[i].as_py())), schema=arrow)
 
-    return texts_by_key.join(lists, "key").select("key", "text", "own").mapInArrow(run, schema)
+    return texts_by_key.join(lists, "key").select("key", "text", "regions").mapInArrow(run, schema)
 
 
 def shard_repeats(parts: DataFrame, length: int, memory: int) -> DataFrame:
-    """``least, digest, places`` of the regions in which something repeats; ``shard`` tells which regions are sorted together."""
+    """``least, digest, places`` of the regions in which something repeats; ``shard`` tells which parts are sorted together."""
     schema = StructType([StructField("least", LongType()), StructField("digest", BinaryType()), StructField("places", PLACES)])
-    arrow = pa.schema([("least", pa.int64()), ("digest", pa.binary()),
-                       ("places", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))])
+    arrow = to_arrow_schema(schema)
 
     def found(rows: dict) -> Iterator[pa.RecordBatch]:
+        own = [[(r["offset"], r["size"], r["count"]) for r in regions] for _, regions in rows.values()]
         with Scratch(memory) as scratch:
-            keys = list(rows)
-            places = repeats([rows[k][0] for k in keys], [rows[k][1] for k in keys], length, scratch)
-        made = [{"least": least, "digest": digest, "places": [{"begin": b, "end": e} for b, e in own]}
-                for (least, digest), own in zip(keys, places, strict=True) if own]
+            places = repeats([part for part, _ in rows.values()], own, length, scratch)
+        made = [{"least": r["least"], "digest": r["digest"], "places": [{"begin": b, "end": e} for b, e in stretches]}
+                for (_, regions), of_part in zip(rows.values(), places, strict=True)
+                for r, stretches in zip(regions, of_part, strict=True) if stretches]
         for at in range(0, len(made), BATCH_ROWS):
             yield pa.RecordBatch.from_pylist(made[at:at + BATCH_ROWS], schema=arrow)
 
@@ -196,7 +225,8 @@ def shard_repeats(parts: DataFrame, length: int, memory: int) -> DataFrame:
                     if rows:
                         yield from found(rows)
                     rows, shard = {}, row["shard"]
-                rows[row["least"], row["digest"]] = row["part"], row["count"]
+                # one text gives one part for its first region, however many copies of it were read
+                rows[row["own"][0]["least"], row["own"][0]["digest"]] = row["part"], row["own"]
         if rows:
             yield from found(rows)
 
@@ -208,15 +238,16 @@ def repeated_places(
 ) -> DataFrame:
     """``key, places``: the stretches of each text to remove, overlapping ones not yet joined."""
     all_regions = stored(region_table(texts_by_key, length, seed), folder, "regions")
-    met = all_regions.groupBy("least").agg(F.sum("hits").alias("n")).where("n > 1").select("least")
-    shared = stored(all_regions.join(met, "least"), folder, "shared")
-    distinct = shared.groupBy("least", "digest").agg(
+    met = all_regions.groupBy("least").agg(F.sum("hits").alias("n"), F.min("near").alias("near")).where("n > 1")
+    shared = stored(all_regions.drop("hits", "near").join(met.drop("n"), "least"), folder, "shared")
+    distinct = shared.groupBy("near", "least", "digest").agg(
         F.count(F.lit(1)).alias("count"), F.min(F.struct("key", "begin", "size")).alias("at"))
-    wanted = distinct.select("least", "digest", "count", "at.*")
-    parts = stored(region_texts(wanted, texts_by_key), folder, "parts")
+    lists = stored(distinct.groupBy("at.key").agg(F.collect_list(
+        F.struct("near", "least", "digest", "count", "at.begin", "at.size")).alias("regions")), folder, "lists")
+    parts = stored(region_texts(lists, texts_by_key, length), folder, "parts")
     total = parts.agg(F.sum(F.octet_length("part"))).first()[0] or 0
     shards = total // shard_bytes + 1
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("least"), F.lit(shards)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("near"), F.lit(shards)))
     found = stored(shard_repeats(dealt, length, memory), folder, "found")
     places = shared.select("key", "least", "digest", "begin").join(found, ["least", "digest"]).select(
         "key", F.explode(F.transform("places", lambda p: F.struct(
