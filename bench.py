@@ -43,8 +43,6 @@ def session(cpus: str):
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(4 * int(cpus)))
         .config("spark.sql.session.timeZone", "UTC")
-        # the tables are small files: split them so that the text work behind a scan has all cores
-        .config("spark.sql.files.maxPartitionBytes", "512k").config("spark.sql.files.openCostInBytes", "0")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )

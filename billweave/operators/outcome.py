@@ -91,13 +91,15 @@ def mark_duplicates(results: DataFrame, seen: DataFrame | None = None) -> DataFr
         old = keys.join(known, same(keys, known, {k: f"_s{i}" for i, k in enumerate(BUSINESS_KEY)}), "left_semi")
         new = keys.join(known, same(keys, known, {k: f"_s{i}" for i, k in enumerate(BUSINESS_KEY)}), "left_anti")
         keys = old.withColumn("_known", F.lit(True)).unionByName(new.withColumn("_known", F.lit(False)))
+    # only rows with a key meet the keys; the others have nothing to be joined on and would be one hot key
+    able = results.filter(F.coalesce(dedup_eligible(), F.lit(False)))
+    others = results.filter(~F.coalesce(dedup_eligible(), F.lit(False)))
     copies = keys.filter((F.col("_n") > 1) | F.col("_known")).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(BUSINESS_KEY)], "_first_path", "_known")
-    joined = results.join(copies, same(results, copies, {k: f"_k{i}" for i, k in enumerate(BUSINESS_KEY)}), "left")
+    joined = able.join(copies, same(able, copies, {k: f"_k{i}" for i, k in enumerate(BUSINESS_KEY)}), "left")
     later = F.col("_known") | (F.col("_first_path") != F.col("rel_path"))
-    duplicate = dedup_eligible() & F.coalesce(later, F.lit(False))
-    return (
-        joined.withColumn("is_dedup", duplicate)
+    marked = (
+        joined.withColumn("is_dedup", F.coalesce(later, F.lit(False)))
         .withColumns({
             "status": F.when(F.col("is_dedup"), F.lit(fv.SKIPPED)).otherwise(F.col("status")),
             "error_message": F.when(F.col("is_dedup"), duplicate_message()).otherwise(
@@ -105,6 +107,7 @@ def mark_duplicates(results: DataFrame, seen: DataFrame | None = None) -> DataFr
         })
         .drop("_first_path", "_known", *[f"_k{i}" for i in range(len(BUSINESS_KEY))])
     )
+    return marked.unionByName(others.withColumn("is_dedup", F.lit(False)))
 
 
 def dedup_summary(results: DataFrame) -> DataFrame:

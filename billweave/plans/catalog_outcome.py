@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from billweave.operators import assist, outcome, stats
 from billweave.plans import render
 from billweave.plans.catalog_sql import GOODS, ORDER_HEADERS, OUTCOMES
 from billweave.plans.folder_run import extract, process_documents
-from billweave.plans.storage import keep_in, run_folder, stored
-from billweave.sources import files, sinks
-from billweave.streaming import ingest
+from billweave.plans.storage import keep_in, remove, run_folder, stored
+from billweave.sources import file_source, files, sinks
+from billweave.streaming import ingest, keyed
 
 # ---- files ----------------------------------------------------------------
 
@@ -325,19 +327,25 @@ FROM c"""
 
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Orders arrive in four rounds, by the key's remainder, for two jobs in turn; every round is
-    decided against the keys accepted before by either job."""
+    decided against the keys that the stream remembers of both. The last round is then repeated, as after a
+    lost driver: its commit is taken back and the batch runs again."""
     folder = run_folder(spark)
     orders = render.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    job = F.when(F.col("o_orderkey") % 2 == 0, "001").otherwise("01")
 
     def process(batch: DataFrame) -> DataFrame:
         return process_documents(render.header_documents(spark, sf, batch)).drop("line_items")
 
+    def take_in() -> None:
+        stream = spark.readStream.schema(arriving.schema).parquet(f"{folder}/arrivals")
+        keyed.start_keyed_ingest(spark, stream, process, f"{folder}/results", f"{folder}/offsets").awaitTermination()
+
+    arriving = orders.withColumn("job_id", job)
     for number in range(4):
-        job = f"j{number % 2}"
-        orders.filter(F.col("o_orderkey") % 4 == number).write.mode("append").parquet(f"{folder}/arrivals-{job}")
-        stream = spark.readStream.schema(orders.schema).parquet(f"{folder}/arrivals-{job}")
-        ingest.start_ingest(
-            stream, process, f"{folder}/results", f"{folder}/offsets-{job}", job_id=job).awaitTermination()
+        arriving.filter(F.col("o_orderkey") % 4 == number).write.mode("append").parquet(f"{folder}/arrivals")
+        take_in()
+    remove(spark, f"{folder}/offsets/commits/3")
+    take_in()
     return spark.read.parquet(f"{folder}/results").select("rel_path", "job_id", "status", "is_dedup")
 
 
@@ -346,11 +354,58 @@ arrived AS (
   SELECT rel_path, order_key, has_invoice, has_invoice AND row_number() OVER (
            PARTITION BY has_invoice, code, number ORDER BY order_key % 4, file_type <> 'ofd', rel_path) > 1 AS copy
   FROM decided)
-SELECT rel_path, 'j' || order_key % 2 AS job_id,
+SELECT rel_path, CASE WHEN order_key % 2 = 0 THEN '001' ELSE '01' END AS job_id,
        CASE WHEN NOT has_invoice THEN 'failed' WHEN copy THEN 'skipped' ELSE 'success' END AS status, copy AS is_dedup
 FROM arrived"""
 
 
+def arriving_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written in three rounds to folders with hidden names, and taken in by the stream of files after
+    each: bytes of the text files of each batch and folder."""
+    folder = run_folder(spark)
+    docs = render.table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("_source"), F.coalesce("text", F.lit("")).alias("value"))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        stored(batch.withColumn("round", F.lit(batch_id).cast("long")), f"{folder}/listed", ingest.batch_part("", batch_id))
+
+    for number in range(3):
+        docs.filter(F.col("doc_id") % 3 == number).drop("doc_id").write.partitionBy("_source").text(
+            f"{folder}/files/.round-{number}")
+        time.sleep(2 * SETTLE)
+        arrivals = file_source.arriving_files(spark, f"{folder}/files", settle=str(SETTLE))
+        arrivals.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/offsets").trigger(
+            availableNow=True).start().awaitTermination()
+    texts = spark.read.parquet(f"{folder}/listed").filter("ext = '.txt'")
+    return texts.groupBy("round", F.regexp_extract("rel_path", "/(_source=[^/]*)/", 1).alias("folder")).agg(
+        F.sum("length").alias("n_bytes"))
+
+
+SETTLE = 0.2
+ARRIVING_SQL = """
+SELECT doc_id % 3 AS round, '_source=' || source AS folder, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes
+FROM documents GROUP BY ALL"""
+
+
+def listed_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Page texts written as files and read back as the file source lists them: conditions on type, path and size
+    are decided while listing, and headers are read of the files that are left."""
+    folder = run_folder(spark)
+    pages = render.table(spark, sf, "pages").select(
+        F.concat(F.lit("host-"), F.col("page_id") % 7).alias("_host"), F.coalesce("html", F.lit("")).alias("value"))
+    pages.repartition(4, "_host").write.partitionBy("_host").text(f"{folder}/files")
+    listed = file_source.read_files(spark, f"{folder}/files", headers="true")
+    found = listed.filter((F.col("ext") == ".txt") & F.startswith("rel_path", F.lit("_host=host-3/")) & (F.col("length") > 0))
+    return found.groupBy(F.substring_index("rel_path", "/", 1).alias("folder"), "file_type", "magic_valid").agg(
+        F.sum("length").alias("n_bytes"))
+
+
+LISTED_SQL = """
+SELECT '_host=host-3' AS folder, 'unsupported' AS file_type, NULL::BOOLEAN AS magic_valid,
+       CAST(sum(strlen(coalesce(html, '')) + 1) AS BIGINT) AS n_bytes
+FROM pages WHERE page_id % 7 = 3 HAVING count(*) > 0"""
+
+
 def path_order(spark: SparkSession, sf: str) -> DataFrame:
     """Place of every page file in path order, by range partitions and positions inside them."""
     listed = files.in_path_order(render.page_files(spark, sf).select("rel_path"))
@@ -390,5 +445,7 @@ ENTRIES = {
     "assist_merge": (assist_merge, MERGE_SQL),
     "job_status": (job_status, JOB_SQL),
     "incremental_ingest": (incremental_ingest, INGEST_SQL),
+    "arriving_bytes": (arriving_bytes, ARRIVING_SQL),
+    "listed_types": (listed_types, LISTED_SQL),
     "path_order": (path_order, PATH_ORDER_SQL),
 }

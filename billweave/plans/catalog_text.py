@@ -10,6 +10,7 @@ from billweave.functions import normalize
 from billweave.operators import checks, fields, items, layout, tags
 from billweave.operators.outcome import is_success
 from billweave.plans import render
+from billweave.plans.storage import run_folder, stored
 from billweave.plans.catalog_sql import GOODS, ORDER_HEADERS, PARTIES
 from billweave.plans.folder_run import extract, finish, with_document_columns
 from billweave.schemas import PARTY_FIELDS
@@ -238,9 +239,9 @@ FROM goods"""
 
 def three_level_check(spark: SparkSession, sf: str) -> DataFrame:
     """Flat form: stated totals of every order against its goods table."""
-    g = render.goods(spark, sf).select(
-        "number", "order_key", F.col("amount").cast("string").alias("amount"), F.col("tax_amount").cast("string").alias("tax_amount"))
-    sums = render.goods(spark, sf).groupBy("number", "order_key").agg(
+    goods = stored(render.goods(spark, sf).select("number", "order_key", "amount", "tax_amount"), run_folder(spark), "goods")
+    g = goods.withColumns({c: F.col(c).cast("string") for c in ("amount", "tax_amount")})
+    sums = goods.groupBy("number", "order_key").agg(
         F.sum("amount").cast(render.MONEY).alias("a"), F.sum("tax_amount").cast(render.MONEY).alias("t"))
     key = F.col("order_key")
 

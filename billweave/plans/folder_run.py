@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from billweave import fixed_values as fv
@@ -12,6 +12,7 @@ from billweave.functions.normalize import Options, field_text
 from billweave.functions.text import missing
 from billweave.operators import assist, fields, items, layout, outcome, tags
 from billweave.operators.checks import with_remarks
+from billweave.operators.stats import is_invoice_file, observed
 from billweave.plans.storage import Keep, keep_in, run_folder, stored, unstored
 from billweave.schemas import BLOCK_LIST, GOODS_LIST, RECOGNISED
 from billweave.sources import archives, files, sinks
@@ -173,13 +174,15 @@ def run_folder_to_tables(
     read_from = time.monotonic()
     documents = stored(read_documents(
         root, listing, folder, spans, recognised, options, parser, entries, paths), folder, "documents")
-    decided = stored(outcomes(listing, documents, options, provider, keep_in(folder)), folder, "decided")
-    spent = time.monotonic() - read_from
-    invoices = decided.filter(F.col("file_type") != fv.UNSUPPORTED).count()
+    counted = Observation()
+    decided = stored(outcomes(listing, documents, options, provider, keep_in(folder)).observe(
+        counted, F.count_if(is_invoice_file()).alias("invoices")), folder, "decided")
+    spent, invoices = time.monotonic() - read_from, counted.get["invoices"]
     share = F.when(F.col("file_type") != fv.UNSUPPORTED, F.lit(spent / max(1, invoices))).otherwise(F.lit(0.0))
     decided = decided.withColumn("elapsed_seconds", share)
     if options.dedup:
         decided = outcome.mark_duplicates(decided)
-    decided = stored(decided, folder, "results")
-    sinks.write_outputs(decided, output, F.lit(time.monotonic() - began))
+    watched, statistics = observed(decided)
+    decided = stored(watched, folder, "results")
+    sinks.write_outputs(decided, output, F.lit(time.monotonic() - began), statistics())
     return decided

@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over the shuffle partitions by a key, before texts are made of them: a table
+    stored as one row group is one task to scan, whatever its split size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def padded(value: Column, width: int) -> Column:
     return F.lpad(value.cast("string"), width, "0")
 
@@ -64,6 +70,7 @@ def order_headers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = N
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+        .transform(dealt, "o_orderkey")
         .withColumn("_pretax", (total * F.lit("0.87").cast("decimal(3,2)")).cast(MONEY))
         .select(
             key.alias("order_key"),
@@ -76,6 +83,7 @@ def order_headers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = N
             F.col("_pretax").alias("pretax"),
             (total - F.col("_pretax")).cast(MONEY).alias("tax"),
             total.alias("total"),
+            *[c for c in orders.columns if not c.startswith("o_")],
         )
     )
 
@@ -185,7 +193,7 @@ def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     df = headers.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
-    return df.select(
+    return dealt(df, "o_orderkey").select(
         key.alias("order_key"),
         F.concat(F.lit("parties/"), padded(key, 12), F.lit(".pdf")).alias("rel_path"),
         F.concat(F.translate("c_name", "#", "号"), F.lit("有限公司")).alias("b_name"),
@@ -206,7 +214,7 @@ def party_lines(prefix: str, glue: str = "") -> list[Column]:
 def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document as a positioned span: 8 words to a line, 400
     to a page, lines 12 units apart with a jitter of up to 2."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     words = F.filter(F.split("text", "[ \\n\\t\\r]+"), lambda w: w != "")
     spans = docs.select("doc_id", F.posexplode_outer(words).alias("i", "text")).filter(F.col("i").isNotNull())
     i = F.col("i")

@@ -61,3 +61,18 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote."""
     system, jvm_path = _file_system(spark, path)
     system.delete(jvm_path, True)
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place, then rename it over what is there."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    system, target = _file_system(spark, path)
+    fresh = jvm.Path(f"{path}-{uuid.uuid4().hex}")
+    out = system.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(jvm, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration()).rename(
+        system.makeQualified(fresh), system.makeQualified(target), options)

@@ -1,4 +1,5 @@
 import io
+import os
 import zipfile
 
 import pytest
@@ -102,7 +103,7 @@ def test_folder_run(spark, folder, tmp_path):
         "发票001.pdf": "success", "发票002.jpg": "success", "发票003.png": "failed", "readme.txt": "skipped", "photo.bmp": "skipped",
         "sub/发票005.pdf": "failed", "sub/copy.ofd": "success", "sub/bad.ofd": "failed", "sub/image.ofd": "success",
         "发票004.OFD": "skipped"}  # same key as sub/copy.ofd, which is first in path order
-    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    read = lambda name: sinks.read_output(spark, out, name)
     assert read("accepted").count() == 4 and len(read("accepted").columns) == 22
     assert read("skipped").count() == 2 and read("duplicates").count() == 1
     failed = {r["文件路径"]: r["失败原因"] for r in read("failed").collect()}
@@ -189,8 +190,19 @@ def test_custom_parser_plugs_in(spark):
 def test_goods_output_is_left_out_without_lines(spark, tmp_path):
     docs = spark.createDataFrame([("a", "发票号码：12345678 价税合计：1")], "rel_path string, full_text string").withColumn("source", F.lit(fv.SOURCE_TEXT))
     done = process_documents(docs).withColumns({"file_type": F.lit("pdf"), "elapsed_seconds": F.lit(0.0), "modification_time": F.current_timestamp()})
-    sinks.write_outputs(done, str(tmp_path / "out"))
-    assert not (tmp_path / "out" / "goods_detail").exists() and (tmp_path / "out" / "accepted").exists()
+    out = str(tmp_path / "out")
+    line = F.array(F.struct(*[F.lit("1").alias(f) for f in fv.GOODS_FIELDS]))
+    first = sinks.write_outputs(done.withColumn("line_items", line), out)
+    assert sinks.read_output(spark, out, "goods_detail").count() == 1
+    sinks.write_outputs(done, out)  # no goods now, and none of the run before
+    assert sinks.read_output(spark, out, "goods_detail") is None and sinks.read_output(spark, out, "accepted").count() == 1
+    second = sinks.runs(spark, out)
+    broken = done.withColumn("rel_path", F.when(F.col("status") == "success", F.raise_error(F.lit("full"))))
+    with pytest.raises(Exception, match="full"):
+        sinks.write_outputs(broken, out)
+    assert sinks.runs(spark, out) == second and sinks.read_output(spark, out, "accepted").first()["文件路径"] == "a"
+    sinks.write_outputs(done, out)
+    assert len(sinks.runs(spark, out)) == 2 and not os.path.exists(first)  # the run before the last one stays
 
 
 @pytest.mark.parametrize("form", ["{}", "file://{}", "file:{}", "{}/"])

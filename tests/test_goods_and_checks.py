@@ -25,9 +25,12 @@ def test_stop_characters_and_blank_line(spark):
     assert goods(spark, "a 1 2% 3") == []
 
 
+GOODS_ROW = r"^(\S+)(?:\s+\S*)?(?:\s+\S*)?(?:\s+\S*)?(?:\s+\S*)?\s+(\d+\.?\d*)\s+(\S+)\s+(\d+\.?\d*)"
+
+
 def pattern_row(line):
     """The row pattern itself, on the line with single blanks."""
-    found = re.match(fv.GOODS_ROW, " ".join(line.split()))
+    found = re.match(GOODS_ROW, " ".join(line.split()))
     return found.groups() if found else None
 
 
