@@ -1,17 +1,18 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped into lines, one for each block element. A line weighs as much as it has
-characters outside links; lines of menus, adverts, forms and the like are left out. Article and main
-elements adjust weights: lines in them weigh all their characters, and lines beside them
-nothing, unless the elements hold next to no text. Sums of weights over a sliding window of
-lines surge where the article begins and dive where it ends; the lines between the two points
-are the text.
+Markup is stripped into lines, one for each block element, and lines are laid out in tracks: those of each part that element,
+role or name call a side part, those of each article or main element, and those of the rest. A line weighs as much as
+it has characters outside links, scaled down in side parts and up in articles. Sums of weights over a sliding window of lines surge
+where text begins and dive where it ends. The lines between such points are the text, on every track whose sums
+come near the greatest of the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,16 +21,18 @@ from pyspark.sql.types import LongType, StringType, StructField
 from billweave.llm.tables import with_python_columns
 
 WINDOW = 3
-#: A window of at least so many characters is a surge.
+#: A side part that its name puts aside needs a window of so many characters to be taken for the article.
 SURGE = 80
+#: A surge has at least this share of the greatest window sum of the page, and one whole character.
+SHARE, LEAST_SUM = 0.25, 1.0
+#: What weights are scaled by: parts put aside by element or role, by name, by a name of readers' comments; article and main elements.
+SIDE_SCALE, NAME_SCALE, READER_SCALE, LANDMARK_SCALE = 0.001, 0.02, 0.005, 8.0
 #: A line with a greater share of its characters in links weighs nothing.
 LINKED = 0.5
-#: Text in article and main elements counts so many times when it is weighed against the text beside them.
-LIFT = 10
 #: A part whose name puts it aside, but that holds more than so many times the text left, is no side part.
 OUTWEIGHS = 3
-#: Share of the heaviest part's text that a part within must have to be taken for the same, and readings of a page.
-LEAST_SHARE, MOST_READINGS = 0.9, 3
+#: Share of the heaviest part's text that a part within must have to be taken for the same.
+LEAST_SHARE = 0.9
 
 # Element names of HTML by what they mean for text.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "canvas", "iframe", "object", "select", "textarea",
@@ -130,6 +133,8 @@ def lines_of(page: str, names: bool = True, disbelieved: frozenset[int] = frozen
     read = Page()
     lines, holders = read.lines, read.holders
     groups = [0]  # of each landmark, the holder around it
+    opened: Counter[str] = Counter()  # open elements of each name
+    endless: set[str] = set()  # silent elements that have no end from here on
     links, at, end = 0, 0, len(page)
 
     def state() -> tuple[bool, bool, int, int, int]:
@@ -144,7 +149,6 @@ def lines_of(page: str, names: bool = True, disbelieved: frozenset[int] = frozen
         believed = names and at not in disbelieved
         return own, by_name and believed, readers and believed
 
-
     def text(value: str) -> None:
         if value:
             lines[-1].parts.append(value)
@@ -164,7 +168,9 @@ def lines_of(page: str, names: bool = True, disbelieved: frozenset[int] = frozen
         closing, attributes = bool(found[1] or found[4]), found[3] or ""
         if name in SILENT and not closing:
             if not attributes.rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
+                stop = None if name in endless else re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
+                if stop is None:
+                    endless.add(name)
                 if stop:
                     at = stop.end()
                 elif name in RAW:
@@ -177,13 +183,16 @@ def lines_of(page: str, names: bool = True, disbelieved: frozenset[int] = frozen
         if name not in BLOCKS:
             continue
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    links = 0
-                    break
+            if opened[name]:
+                while True:
+                    ended = stack.pop()[0]
+                    opened[ended] -= 1
+                    if ended == name:
+                        break
+                links = 0
         elif name == "body":
             stack.clear()
+            opened.clear()
         elif name not in OPEN_ENDED and not attributes.rstrip().endswith("/"):
             side, readers, landmark, holder, named = state()
             begins, by_name, begins_readers = begun(name, attributes)
@@ -191,7 +200,7 @@ def lines_of(page: str, names: bool = True, disbelieved: frozenset[int] = frozen
                 begins |= not landmark
             if name in ("article", "main"):
                 if not readers and not begins_readers and not begins and not by_name:
-                    if (side or named) and not any(x[0] in ("aside", "footer") for x in stack):
+                    if (side or named) and not opened["aside"] and not opened["footer"]:
                         side, named = False, 0
                     if not side and not named and not landmark:
                         landmark = len(groups)
@@ -203,6 +212,7 @@ def lines_of(page: str, names: bool = True, disbelieved: frozenset[int] = frozen
             if name in HOLDERS:
                 holders.append((holder, name in SECTIONS))
                 holder = len(holders) - 1
+            opened[name] += 1
             stack.append((name, side, readers or begins_readers, landmark, holder, named))
             links = 0
         elif name in ("li", "p", "td", "th") and attributes:
@@ -218,13 +228,10 @@ def lines_of(page: str, names: bool = True, disbelieved: frozenset[int] = frozen
 
 
 def main_text(page: str) -> str:
-    """Lines between the surge and the dive point, joined by line ends. Names that would put the article itself
-    aside are not believed; a page that has no text then is read again without any."""
+    """Lines between surge and dive points, joined by line ends. Names that would put the article itself aside are not
+    believed: each time one is not, the text that is not aside becomes several times as much, so the readings end."""
     read, disbelieved = lines_of(page), frozenset()
-    for _ in range(MOST_READINGS):
-        more = outweighing(read)
-        if not more:
-            break
+    while more := outweighing(read) - disbelieved:
         disbelieved |= more
         read = lines_of(page, disbelieved=disbelieved)
     return text_between(read) or text_between(lines_of(page, names=False))
@@ -263,28 +270,52 @@ def outweighing(read: Page) -> frozenset[int]:
     return frozenset()
 
 
+Track = tuple[bool, int, int]  # side part, part put aside by its name, holder of the landmark or -1
+
+
 def text_between(read: Page) -> str:
-    """Side parts are left out before the sums. Text of the holder that has most of the run's text is text of
-    the article, whatever lines of links stand between; these stay, as nothing says that they are side parts."""
-    found = []
-    for line in read.lines:
-        value = "" if line.side or line.named else line.value()
-        if value:
-            found.append((value, line))
-    weights = [0 if x.linked > LINKED * len(v) else len(v) for v, x in found]
-    group = article_group(found, weights)
-    if group is None:
-        begin, end = surge_and_dive(weights)
-        held = in_holder_of([x.holder for _, x in found], weights, begin, end, read.holders)
-        more = [i for i, w in enumerate(weights) if w and held[i]]
-        begin, end = min([begin, *more[:1]]), max([end, *(i + 1 for i in more[-1:])])
-        return "\n".join(v for v, _ in found[begin:end])
-    weights = [len(v) if x.landmark and x.group == group else 0 for v, x in found]
-    begin, end = surge_and_dive(weights)
-    # Landmarks that one element holds are parts of one article, whatever stands between them.
-    heavy = [i for i, w in enumerate(weights) if w]
-    begin, end = min(begin, heavy[0]), max(end, heavy[-1] + 1)
-    return "\n".join(v for (v, _), w in zip(found[begin:end], weights[begin:end], strict=True) if w)
+    """The tracks are weighed twice: once a surge is found on the track of the rest, lines of the holder with most of
+    its text weigh all their characters and have a track of their own, as lines of a landmark do."""
+    found = [(line.value(), line) for line in read.lines]
+    found = [(value, line) for value, line in found if value]
+    weights = [len(v) if x.landmark or x.linked <= LINKED * len(v) else 0 for v, x in found]
+    tracks: dict[Track, list[int]] = {}
+    for i, (_, x) in enumerate(found):
+        tracks.setdefault((x.side, x.named, x.group if x.landmark else -1), []).append(i)
+    kept = surge_and_dive(tracks, weights, read)
+    low = [t for t, lines in tracks.items() if t[:2] == (False, 0) and t[2] >= 0 and kept.isdisjoint(lines)]
+    if low:  # landmarks with next to no text are lines like others
+        tracks[False, 0, -1] = sorted(sum((tracks.pop(t) for t in low), tracks.get((False, 0, -1), [])))
+        kept = surge_and_dive(tracks, weights, read)
+    rest = tracks.get((False, 0, -1), [])
+    if any(i in kept for i in rest):
+        run = [i in kept for i in rest]
+        begin, end = run.index(True), len(run) - run[::-1].index(True)
+        inside = in_holder_of([found[i][1].holder for i in rest], [weights[i] for i in rest], begin, end, read.holders)
+        own = [i for i, held in zip(rest, inside, strict=True) if held]
+        for i in own:
+            weights[i] = len(found[i][0])
+        outside = [i for i, held in zip(rest, inside, strict=True) if not held]
+        kept |= surge_and_dive(tracks | {(False, 0, -1): outside, (False, 0, -2): own}, weights, read)
+    return "\n".join(found[i][0] for i in sorted(kept))
+
+
+def scale_of(track: Track, read: Page) -> float:
+    side, named, landmark = track
+    scale = SIDE_SCALE if side else LANDMARK_SCALE if landmark >= 0 else 1.0
+    return scale * ((READER_SCALE if read.named[named][2] else NAME_SCALE) if named else 1.0)
+
+
+def surge_and_dive(tracks: dict[Track, list[int]], weights: list[int], read: Page) -> set[int]:
+    """Lines between the surge and dive points of all tracks: a surge is a run of filled windows, one of which comes to the
+    share of the greatest sum, and its dive is where the run ends."""
+    runs = []
+    for track, lines in tracks.items():
+        scale = scale_of(track, read)
+        for begin, end, most in filled_runs([weights[i] for i in lines]):
+            runs.append((most * scale, lines[begin:end]))
+    least = max([LEAST_SUM, *(SHARE * most for most, _ in runs)])
+    return {i for most, lines in runs if most >= least for i in lines}
 
 
 def in_holder_of(
@@ -306,22 +337,11 @@ def in_holder_of(
     return [inside[k] for k in places]
 
 
-def article_group(found: list[tuple[str, Line]], weights: list[int]) -> int | None:
-    """The element that holds the landmark with most text; None if landmarks weigh too little beside the rest."""
-    marked: dict[int, int] = {}
-    groups = {x.landmark: x.group for _, x in found}
-    for (_, x), weight in zip(found, weights, strict=True):
-        marked[x.landmark] = marked.get(x.landmark, 0) + weight
-    beside = marked.pop(0, 0)
-    if not any(marked.values()) or LIFT * sum(marked.values()) < beside:
-        return None
-    return groups[max(marked, key=lambda k: (marked[k], -k))]
-
-
-def surge_and_dive(weights: list[int]) -> tuple[int, int]:
-    """First and last line (exclusive) of the run of filled windows that has the most text. A run begins
-    with a window of at least SURGE characters, or, where the page has none, with any filled one."""
-    sums = [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
+def filled_runs(weights: list[int]) -> list[tuple[int, int, int]]:
+    """Stretches of lines from where window sums rise above nothing to where they fall to nothing: first line with a weight, end
+    (exclusive), and the greatest sum."""
+    before = [0, *accumulate(weights)]
+    sums = [before[min(i + WINDOW, len(weights))] - before[i] for i in range(len(weights))]
     runs, at = [], 0
     while at < len(sums):
         if not sums[at]:
@@ -330,15 +350,12 @@ def surge_and_dive(weights: list[int]) -> tuple[int, int]:
         stop = at
         while stop < len(sums) and sums[stop]:
             stop += 1
-        runs.append((max(sums[at:stop]) >= SURGE, sum(weights[at:stop]), -at, stop))
+        begin = at
+        while not weights[begin]:
+            begin += 1
+        runs.append((begin, stop, max(sums[at:stop])))
         at = stop
-    if not runs:
-        return 0, 0
-    _, _, begin, end = max(runs)
-    begin = -begin
-    while not weights[begin]:
-        begin += 1
-    return begin, end
+    return runs
 
 
 def page_texts(df: DataFrame, page: str = "html") -> DataFrame:

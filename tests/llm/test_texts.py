@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import struct
 import zipfile
 
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 from billweave.llm import bpe, fingerprints, html_text, warc_zip
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = ["a", "The", " ", "  ", "\n", " \n", "\t", "1", "é", "ß", "'s", "'ll", "$$", "\u00a0", "\u3000", "\x1c", "\x85",
@@ -154,7 +156,8 @@ LONG = "Words of the article, as many as a paragraph needs to be a surge of its
 @pytest.mark.parametrize(("page", "text"), [
     ("<div><article><p>A1</p><p>A2</p></article><nav>n</nav><p>x</p><p>x</p><p>x</p><article><p>B</p></article></div>",
      "A1\nA2\nB"),
-    ("<article><p>Story</p></article><div><article><p>card</p></article></div>", "Story"),
+    (f"<article><p>{LONG}</p></article><div><article><p>card</p></article></div>", LONG),
+    (f"<div><article><p>{LONG}</p></article></div><div><article><p>{LONG}</p></article></div>", f"{LONG}\n{LONG}"),
     (f"<main><h1>T</h1></main><div><p>{LONG}</p><p>{LONG}</p></div>", f"T\n{LONG}\n{LONG}"),
     (f"<main><p>{LONG}</p><p><a>see also</a></p></main><p>out</p>", f"{LONG}\nsee also"),
 ])
@@ -204,10 +207,43 @@ def test_names_are_weighed_against_text(page, text):
     assert html_text.main_text(page) == text
 
 
-def test_surge_and_dive():
-    assert html_text.surge_and_dive([]) == (0, 0)
-    assert html_text.surge_and_dive([0, 0, 0]) == (0, 0)
-    assert html_text.surge_and_dive([5, 0, 0, 0, 90, 3, 80, 0, 0, 0, 7]) == (4, 7)
+def test_filled_runs():
+    assert html_text.filled_runs([]) == [] and html_text.filled_runs([0, 0, 0]) == []
+    assert html_text.filled_runs([5, 0, 0, 0, 90, 3, 80, 0, 0, 0, 7]) == [(0, 1, 5), (4, 7, 173), (10, 11, 7)]
+
+
+def scanned(tracks, weights, read):
+    """All windows of all tracks, one by one: a line is text if it lies between the first and last weighty line of a chain of
+    filled windows that has a great one."""
+    sums = {(t, i): html_text.scale_of(t, read) * sum(weights[k] for k in lines[i:i + 3]) for t, lines in tracks.items() for i in range(len(lines))}
+    least = max([1, *(0.25 * x for x in sums.values())])
+    kept = set()
+    for t, lines in tracks.items():
+        for i in range(len(lines)):
+            a = b = i
+            while a > 0 and sums[t, a - 1] > 0:
+                a -= 1
+            while b < len(lines) and sums[t, b] > 0:
+                b += 1
+            if a < b and max(sums[t, k] for k in range(a, b)) >= least and any(weights[k] for k in lines[a:i + 1]):
+                kept.add(lines[i])
+    return kept
+
+
+def test_surge_and_dive_decides_pages(spark, monkeypatch):
+    pages = [r.html or "" for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    own = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "surge_and_dive", scanned)
+    assert [html_text.main_text(p) for p in pages] == own
+    monkeypatch.setattr(html_text, "surge_and_dive", lambda tracks, weights, read: set(range(len(weights))))
+    assert sum(html_text.main_text(p) != o for p, o in zip(pages, own)) > 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("part", ["<div></p>", "<select>", "<button>x", "<div></div></p>", "<article>", "<div class=ad>x"])
+def test_a_megabyte_of_open_elements(part):
+    start = time.process_time()
+    html_text.main_text(part * ((1 << 20) // len(part)))
+    assert time.process_time() - start < 15
 
 
 def test_archives_round_trip(spark, tmp_path):
