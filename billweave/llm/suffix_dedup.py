@@ -28,7 +28,7 @@ from billweave.llm.suffix_sort import Scratch, sorted_suffixes
 from billweave.llm.tables import BATCH_ROWS, stored, texts, with_python_columns, work_folder
 
 SEED_BYTES = 128
-NEIGHBOURS = 4
+NEIGHBOURS = 16
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 4 << 20
 SORT_MEMORY = 256 << 20

@@ -131,8 +131,8 @@ class Least:
         """Minimum of values[first..last], both included, first <= last."""
         level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
         out = np.empty(len(first), self.rows[0].dtype)
-        for k in np.unique(level):
-            at = level == k
+        for k in np.flatnonzero(np.bincount(level)):
+            at = np.flatnonzero(level == k)
             row = self.rows[k]
             out[at] = np.minimum(row[first[at]], row[last[at] - (1 << int(k)) + 1])
         return out
@@ -442,7 +442,9 @@ def named(text: np.ndarray, places: np.ndarray, symbols: int, scratch: Scratch)
             active = np.flatnonzero(tied & (left > offset))
             if not len(active):
                 break
-            active = np.flatnonzero(tied & np.isin(group, group[active]))
+            longer = np.zeros(group[-1] + 1, bool)
+            longer[group[active]] = True
+            active = np.flatnonzero(tied & longer[group])
             key = packed(text, place[active], left[active], offset, bits, symbols)
             order = np.lexsort((key, group[active]))
             for column in (item, place, left):
