@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.tables import without
+from billweave.llm.tables import stored, without, work_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,7 +41,7 @@ def window_starts(n: Column, length: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, n: int, item: str, text: str) -> DataFrame:
-    """Each distinct window: gram (its words joined by a space), length, hash, items."""
+    """Each distinct window: gram (its words joined by a space), length, hash, items, and the digest of these."""
     own = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("words"))
     own = own.withColumn("length", F.least(F.size("words"), F.lit(n))).where("length > 0")
     starts = F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)
@@ -49,7 +49,8 @@ def item_windows(benchmark: DataFrame, n: int, item: str, text: str) -> DataFram
         starts, lambda i: F.slice("words", i, F.col("length")))).alias("window"))
     return grams.groupBy(F.array_join("window", " ").alias("gram")).agg(
         F.first("length").alias("length"), F.first(window_hash(F.transform("window", lambda w: F.xxhash64(w)))).alias("hash"),
-        F.collect_set("item").alias("gram_items"))
+        F.array_sort(F.collect_set("item")).alias("gram_items")).withColumn(
+        "item_set", F.unhex(F.sha2(F.to_json("gram_items"), 256)))
 
 
 def window_hash(hashes: Column) -> Column:
@@ -80,11 +81,15 @@ def contamination(
     are replaced.
 
     The windows of the items go to every executor while they have up to ``broadcast_bytes`` of
-    text; a larger benchmark is joined by whatever way Spark picks.
+    text; a larger benchmark is joined by whatever way Spark picks. Windows name the set of their items by its
+    digest, so a window that a third of the items share is as small as any other; documents
+    that hit one get its items from a table of sets.
     """
-    added = ["n_words", "n_hit", "n_items", "items", "hit_words", "contaminated", "__row", "__words", "__candidate"]
-    grams = item_windows(benchmark, n, item, item_text)
-    facts = grams.agg(F.count(F.lit(1)).alias("grams"), F.sum(F.octet_length("gram") + 64).alias("bytes"),
+    added = ["n_words", "n_hit", "n_items", "items", "hit_words", "contaminated", "__row", "__words", "__candidate", "item_sets"]
+    folder = work_folder(docs.sparkSession, "windows")
+    windows = stored(item_windows(benchmark, n, item, item_text), folder, "windows")
+    grams = windows.drop("gram_items")
+    facts = grams.agg(F.count(F.lit(1)).alias("grams"), F.sum(F.octet_length("gram") + 96).alias("bytes"),
                       F.sort_array(F.collect_set("length")).alias("lengths")).first()
     slots = 1 << min(MOST_SLOTS.bit_length() - 1, max(10, (64 * facts.grams).bit_length()))
     slot_bytes = F.lit(slot_map(grams, slots) if facts.grams else bytes(slots))
@@ -113,7 +118,12 @@ def contamination(
     rows = joined.groupBy("__row").agg(
         *[F.first(c).alias(c) for c in rest], F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(places)))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("gram_items")))).alias("items"))
+        F.collect_set("item_set").alias("item_sets"))
+    rows = stored(rows, folder, "rows")
+    sets = windows.select("item_set", "gram_items").dropDuplicates(["item_set"])
+    hits = rows.select("__row", F.explode("item_sets").alias("item_set")).join(sets, "item_set").select(
+        "__row", F.explode("gram_items").alias("item")).groupBy("__row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = rows.join(hits, "__row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     n_hit = F.size("hit_words").cast("long")
     return rows.select(
         *rest, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hit_words",

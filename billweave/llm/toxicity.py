@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
@@ -25,6 +25,7 @@ from billweave.llm.tables import stored, with_python_columns, work_folder
 
 #: At most so many labelled rows are learnt from, chosen by a hash of their id.
 SAMPLE_ROWS = 20_000
+SAMPLE_BYTES = 128 << 20
 #: So many terms, those most at odds with the labels being independent of them, get a weight.
 TERMS = 2048
 SEEN, BEGINNINGS = 4, (2, 3, 4, 5, 6)
@@ -77,20 +78,19 @@ def noisy_or(margins: list[float]) -> float:
     return 1 - math.exp(-sum(np.logaddexp(0.0, np.clip(margins, -30, 30)).tolist())) if margins else 0.0
 
 
-def fit(documents: list[list[list[int]]], plain: np.ndarray, labels: np.ndarray, terms: int) -> tuple[np.ndarray, float]:
-    """Weights and bias. ``documents`` has, for each document, the term numbers of its sentences that hold any;
-    ``plain`` counts its other sentences. The likelihood of the noisy-or is climbed with Adam."""
-    sentences = [(d, s) for d, own in enumerate(documents) for s in own]
-    owner = np.array([d for d, _ in sentences], np.int64)
-    row = np.repeat(np.arange(len(sentences)), [len(s) for _, s in sentences]) if sentences else np.empty(0, np.int64)
-    column = np.array([t for _, s in sentences for t in s], np.int64)
+def fit(
+    owner: np.ndarray, row: np.ndarray, column: np.ndarray, plain: np.ndarray, labels: np.ndarray, terms: int,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias. Of the sentences that hold terms, ``owner`` gives the document; ``row`` and ``column`` list sentence
+    and term number of each term; ``plain`` counts the other sentences of each document. The likelihood
+    of the noisy-or is climbed with Adam."""
     weights, bias = np.zeros(terms + 1), 0.0
     weights[terms] = bias = -4.0
     mean, square = np.zeros(terms + 1), np.zeros(terms + 1)
     n = len(labels)
     for number in range(1, ROUNDS + 1):
         bias = weights[terms]
-        margin = bias + np.bincount(row, weights[column], len(sentences))
+        margin = bias + np.bincount(row, weights[column], len(owner))
         p, p0 = 1 / (1 + np.exp(-np.clip(margin, -30, 30))), 1 / (1 + np.exp(-np.clip(bias, -30, 30)))
         none = np.bincount(owner, np.logaddexp(0, margin), n) + plain * np.logaddexp(0, bias)
         clean = np.exp(-none)
@@ -139,9 +139,27 @@ def chosen_terms(sample: DataFrame, text: str, terms: int) -> list[str]:
     return [r.term for r in best.select("term").collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int) -> Noisy:
+def flat(held: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document of each sentence, and sentence and number of each term, of lists of lists of numbers."""
+    sentences = held.flatten()
+    owner = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy())
+    row = np.repeat(np.arange(len(sentences)), sentences.value_lengths().to_numpy())
+    return owner, row, sentences.flatten().to_numpy()
+
+
+def within(sample: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """Rows of a sample, in the order of its hash, as long as their texts have at most ``most`` bytes in all."""
+    order = Window.orderBy(F.xxhash64(key), key, "size")  # the rows of a sample are few, and so is one task's work
+    sizes = sample.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
+    kept = sizes.withColumn("total", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = kept.where(F.col("total") <= most).select(F.col(key).alias("__kept")).distinct()
+    return sample.join(F.broadcast(kept), F.col(key) == F.col("__kept")).drop("__kept")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, most: int) -> Noisy:
     spark = docs.sparkSession
-    sample = stored(labelled_sample(docs, labels, label, key, text, rows), work_folder(spark, "toxicity"), "sample")
+    folder = work_folder(spark, "toxicity")
+    sample = within(stored(labelled_sample(docs, labels, label, key, text, rows), folder, "sample"), key, text, most)
     terms = chosen_terms(sample, text, TERMS)
     number = {t: i for i, t in enumerate(terms)}
 
@@ -168,14 +186,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, r
     y = found["label"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Noisy({}, 30.0 if len(y) and y.min() > 0 else -30.0)
-    weights, bias = fit(found["held"].to_pylist(), found["plain"].to_numpy().astype(float), y, len(terms))
+    owner, row, column = flat(found["held"].combine_chunks())
+    weights, bias = fit(owner, row, column, found["plain"].to_numpy().astype(float), y, len(terms))
     return Noisy(dict(zip(terms, weights.tolist(), strict=True)), bias)
 
 
 def toxicity_scores(
     df: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
     threshold: float = 0.5, sentence_threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS,
-    with_sentences: bool = True,
+    with_sentences: bool = True, sample_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
     """Adds ``held_out``, ``score``, ``predicted`` and ``offending`` to every row.
 
@@ -184,10 +203,10 @@ def toxicity_scores(
     without words, null and empty ones among them, score 0 and offend nowhere. Repeated rows
     get equal results; an empty table gives an empty one. Without labels, or without a toxic
     one, scores are all but 0. The model is fitted on the driver to at most ``sample_rows``
-    labelled rows that are not held out. Other columns stay; input columns with the new names are
+    labelled rows that are not held out, with at most ``sample_bytes`` of text in all. Other columns stay; input columns with the new names are
     replaced.
     """
-    model = df.sparkSession.sparkContext.broadcast(train(df, labels, label, key, text, sample_rows))
+    model = df.sparkSession.sparkContext.broadcast(train(df, labels, label, key, text, sample_rows, sample_bytes))
     span = StructType([StructField("begin", LongType()), StructField("end", LongType()),
                        StructField("sentence", StringType()), StructField("score", DoubleType())])
     fields = [StructField("score", DoubleType()), StructField("predicted", IntegerType()),

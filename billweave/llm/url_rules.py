@@ -9,7 +9,9 @@ a digest that is found counts only if the stored key equals the candidate.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import struct
 import tempfile
 import uuid
@@ -40,7 +42,7 @@ def split_url(url: bytes) -> tuple[bytes, bytes]:
 
 
 def pack_rules(rules: Iterable[tuple[str, str, str]]) -> bytes:
-    """Rules (host, path, verdict) as one binary: counts and path lengths, sorted digests, offsets,
+    """Rules (host, path, verdict) as one binary: counts, the longest host and path lengths, sorted digests, offsets,
     verdict numbers, then the keys and the names of verdicts. Of two rules with the same key, the
     lesser verdict name stays, so ``allow`` goes before ``block``."""
     best: dict[bytes, str] = {}
@@ -48,12 +50,13 @@ def pack_rules(rules: Iterable[tuple[str, str, str]]) -> bytes:
         key = (host or "").lower().encode() + (path or "").encode()
         best[key] = min(verdict, best.get(key, verdict))
     lengths = sorted({len((path or "").encode()) for _, path, _ in rules})
+    longest = max((len((host or "").encode()) for host, _, _ in rules), default=0)
     names = sorted(set(best.values()))
     keys = sorted(best, key=lambda k: (xxhash.xxh64_intdigest(k), k))
     offsets = np.cumsum([0, *map(len, keys)])
     tail = "\n".join(names).encode()
     return b"".join([
-        struct.pack("<3Q", len(keys), len(lengths), len(tail)), np.array(lengths, "<u8").tobytes(),
+        struct.pack("<4Q", len(keys), len(lengths), len(tail), longest), np.array(lengths, "<u8").tobytes(),
         np.array([xxhash.xxh64_intdigest(k) for k in keys], "<u8").tobytes(), offsets.astype("<u8").tobytes(),
         np.array([names.index(best[k]) for k in keys], "<u4").tobytes(), tail, b"".join(keys)])
 
@@ -63,8 +66,8 @@ class Rules:
 
     def __init__(self, path: str):
         data = np.memmap(path, np.uint8, "r")
-        count, lengths, tail = struct.unpack("<3Q", data[:24].tobytes())
-        at = 24
+        count, lengths, tail, self.longest = struct.unpack("<4Q", data[:32].tobytes())
+        at = 32
 
         def part(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -84,11 +87,10 @@ class Rules:
         return self.keys[int(self.offsets[at]):int(self.offsets[at + 1])].tobytes()
 
     def candidates(self, host: bytes, path: bytes) -> list[bytes]:
-        """Longest key first: the order in which rules win."""
-        domains, rest = [host], host
-        while dot := rest.find(b".") + 1:
-            rest = rest[dot:]
-            domains.append(rest)
+        """Longest key first: the order in which rules win. Domains longer than the host of any rule can't fit one."""
+        domains, at = [host] if len(host) <= self.longest else [], max(0, len(host) - self.longest - 1)
+        while at := host.find(b".", at) + 1:
+            domains.append(host[at:])
         starts = [path[:n] for n in self.lengths if n <= len(path)]
         return sorted((d + s for d in domains if d for s in starts), key=len, reverse=True)
 
@@ -142,7 +144,10 @@ def judge_urls(
     if size > file_bytes:
         return judged_by_join(df, clean, url, default)
     name = f"rules-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="rules-"), name)
+    # the driver serves this file to executors while the application runs
+    folder = tempfile.mkdtemp(prefix="rules-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, name)
     with open(path, "wb") as file:
         file.write(pack_rules([(r.host, r.path, r.verdict) for r in clean.toLocalIterator()]))
     spark.sparkContext.addFile(path)
@@ -172,8 +177,10 @@ def judged_by_join(df: DataFrame, rules: DataFrame, url: str, default: str) -> D
     keys = rules.select(F.concat(F.translate("host", UPPER, LOWER), "path").alias("key"),
                         F.length("path").alias("n"), "verdict")
     keys = keys.groupBy("key").agg(F.min("verdict").alias("verdict"))
-    lengths = rules.agg(F.collect_set(F.length("path"))).first()[0]
-    labels = F.split("host", r"\.")
+    lengths, longest = rules.agg(F.collect_set(F.length("path")), F.coalesce(F.max(F.length("host")), F.lit(0))).first()
+    # domains longer than the host of any rule can't fit one: of a longer host, what follows the first dot of its end
+    end = F.regexp_replace(F.right("host", F.lit(longest + 1)), r"(?s)^[^.]*\.?", "")
+    labels = F.split(F.when(F.length("host") <= longest, F.col("host")).otherwise(end), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)),
                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")),
@@ -181,7 +188,7 @@ def judged_by_join(df: DataFrame, rules: DataFrame, url: str, default: str) -> D
     found = (
         parts.select("__url", "host", "path").distinct().where("host <> ''")
         .select("__url", F.explode(F.flatten(F.transform(
-            domains, lambda d: F.transform(starts, lambda s: F.concat(d, s))))).alias("candidate"))
+            F.filter(domains, lambda d: d != ""), lambda d: F.transform(starts, lambda s: F.concat(d, s))))).alias("candidate"))
         .withColumn("digest", F.xxhash64("candidate"))
         .join(keys.withColumn("digest", F.xxhash64("key")), "digest").where("candidate = key")
         .groupBy("__url").agg(F.max_by("key", F.length("key")).alias("rule"),
