@@ -300,3 +300,42 @@ def test_query_equals_its_sql(spark, name):
 
     sf_dir = "/root/testdata/sf0.001"
     assert differences(QUERIES[name](spark, sf_dir), connect(sf_dir), CHECK_SQL[name]) == ""
+
+
+def test_long_hosts_and_texts(spark):
+    dots, deep = "a." * 100_000, "." * 200_000
+    urls = [f"http://{dots}example.net/en/x", f"http://{deep}net/", f"http://{'x' * 200_000}.org/fr/", f"http://{deep}"]
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "block")],
+                                  "host string, path string, verdict string")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for file_bytes in (1 << 20, 0):
+        got = url_rules.judge_urls(df, rules, file_bytes=file_bytes).orderBy("page_id").select("rule", "verdict").collect()
+        assert [tuple(r) for r in got] == [("example.net/en/", "allow"), ("net/", "block"), ("org/fr/", "block"), (None, "allow")]
+    own, words = "w " * 150_000, " ".join(f"b{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, own + words), (2, own)], SCHEMA)
+    benchmark = spark.createDataFrame([(9, words)], "item_id long, text string")
+    got = decontamination.contamination(docs, benchmark).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got] == [(150_020, 20, 1, False), (150_000, 0, 0, False)]
+
+
+def test_window_that_all_items_share(spark):
+    prompt = " ".join(f"p{i}" for i in range(13))
+    items = [(i, f"{prompt} own{i} tail{i}") for i in range(300)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, prompt), (2, f"{prompt} own7 tail7"), (3, "p1 p2")], SCHEMA)
+    got = {r.doc_id: r for r in decontamination.contamination(docs, benchmark).collect()}
+    assert got[1]["items"] == got[2]["items"] == sorted(str(i) for i in range(300)) and got[3]["items"] == []
+    assert [got[i].n_hit for i in (1, 2, 3)] == [13, 15, 0]
+
+
+def test_noisy_or_of_sentences():
+    margins = [-3.0, 0.5, 2.0, -40.0]
+    chances = [1 / (1 + np.exp(-max(-30.0, m))) for m in margins]
+    assert abs(toxicity.noisy_or(margins) - (1 - np.prod([1 - c for c in chances]))) < 1e-12 and toxicity.noisy_or([]) == 0
+
+
+def test_sample_is_bounded_by_text(spark):
+    rows = [(i, "word " * 100, i % 2) for i in range(50)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert toxicity.within(sample, "doc_id", "text", 500 * 20 + 1).count() == 20
+    assert toxicity.within(sample, "doc_id", "text", 10).count() == 0
