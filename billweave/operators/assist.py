@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from billweave import fixed_values as fv
 from billweave.functions.normalize import Options, field_text
 from billweave.functions.text import fill, let, missing, strip
+from billweave.plans.storage import path_exists, run_folder, stored
 
 FIELDS = list(fv.FIELD_PATTERNS)
 Provider = Callable[[DataFrame], DataFrame]
@@ -97,3 +98,58 @@ def assisted(df: DataFrame, provider: Provider, options: Options = Options()) ->
     its answers back into the rows."""
     answers = provider(requests(df, options)).withColumn("wanted", F.array("field"))
     return merge_answers(df, parse_answers(answers), options)
+
+
+def request_digest() -> Column:
+    """What makes two requests the same: both texts."""
+    return F.sha2(F.concat_ws("\0", "system_text", "request_text"), 256)
+
+
+def answered(
+    asked: DataFrame, provider: Provider, store: str, attempts: int = 3, batch_rows: int = 100_000,
+) -> tuple[DataFrame, int]:
+    """Answers to a request table, out of a store of earlier answers where it has them, and how often a provider was asked.
+
+    The store, a folder, keeps each answer under the digest of its request, so equal requests, of one run or of
+    several, are asked once. What it lacks goes to the provider in batches by digest, each stored when
+    it is done; requests without an answer (no row, or a null) are asked again, ``attempts`` times in all. A run that breaks off
+    loses its last batch only. A request that is never answered gives no row.
+    """
+    spark = asked.sparkSession
+    keyed = asked.withColumn("digest", request_digest())
+
+    def known() -> DataFrame | None:
+        return spark.read.parquet(store) if path_exists(spark, store) else None
+
+    def lacking() -> DataFrame:
+        once = keyed.groupBy("digest").agg(F.min(F.struct("rel_path", "field", "system_text", "request_text")).alias("r"))
+        held = known()
+        left = once if held is None else once.join(held.select("digest").distinct(), "digest", "left_anti")
+        return left.select("digest", "r.*")
+
+    n_asked = 0
+    for _ in range(attempts):
+        left = stored(lacking(), run_folder(spark), "lacking")
+        n_left = left.count()
+        if not n_left:
+            break
+        n_asked += n_left
+        n_batches = -(-n_left // batch_rows)
+        for number in range(n_batches):
+            batch = left.filter(F.pmod(F.xxhash64("digest"), F.lit(n_batches)) == number)
+            answers = provider(batch.drop("digest")).filter(F.col("answer_text").isNotNull())
+            if "answer_no" not in answers.columns:
+                answers = answers.withColumn("answer_no", F.lit(0))
+            batch.select("digest", "rel_path", "field").join(answers, ["rel_path", "field"]).select(
+                "digest", "answer_no", "answer_text").write.mode("append").parquet(store)
+    held = known()
+    if held is None:
+        return keyed.limit(0).select("rel_path", "field", F.lit(0).alias("answer_no"), F.lit("").alias("answer_text")), n_asked
+    # a batch that was written twice gives the same answer once
+    once = held.groupBy("digest", "answer_no").agg(F.max("answer_text").alias("answer_text"))
+    return keyed.select("rel_path", "field", "digest").join(once, "digest").drop("digest"), n_asked
+
+
+def with_store(provider: Provider, store: str, attempts: int = 3) -> Provider:
+    """A provider that answers from a store and asks the given one for the rest."""
+    return lambda asked: answered(asked, provider, store, attempts)[0]

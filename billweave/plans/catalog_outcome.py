@@ -11,7 +11,7 @@ from billweave import fixed_values as fv
 from billweave.operators import assist, outcome, stats
 from billweave.plans import render
 from billweave.plans.catalog_sql import GOODS, ORDER_HEADERS, OUTCOMES
-from billweave.plans.folder_run import extract, process_documents
+from billweave.plans.folder_run import extract, finish, process_documents
 from billweave.plans.storage import keep_in, remove, run_folder, stored
 from billweave.sources import file_source, files, sinks
 from billweave.streaming import ingest, keyed
@@ -305,6 +305,37 @@ SELECT rel_path, CASE WHEN order_key % 11 = 0 AND order_key % 4 < 2 THEN '' ELSE
 FROM headers"""
 
 
+def stored_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Low-confidence documents through a store of answers, in two runs. The provider fails on a third of the
+    documents when it is asked first; the second run asks nothing."""
+    folder = run_folder(spark)
+    store, answers = f"{folder}/answers", _answers(spark, sf).select("rel_path", "answer_text")
+    extracted = stored(extract(render.header_documents(spark, sf)), folder, "extracted")
+    asked, calls = stored(assist.requests(extracted), folder, "asked"), []
+
+    def provider(requests: DataFrame) -> DataFrame:
+        calls.append(len(calls))
+        got = requests.select("rel_path", "field").join(answers, "rel_path")
+        return got.filter(F.pmod(F.xxhash64("rel_path"), F.lit(3)) > 0) if len(calls) == 1 else got
+
+    assist.answered(asked, provider, store)
+    found, again = assist.answered(asked, provider, store)
+    done = finish(assist.merge_answers(extracted, assist.parse_answers(found.withColumn("wanted", F.array("field")))))
+    return done.select("rel_path", "invoice_number", "total_amount_cn", "status", "remarks", F.lit(again).cast("long").alias("asked_again"))
+
+
+STORED_SQL = MERGE_SQL.replace("FROM headers", ", 0::BIGINT AS asked_again FROM headers")
+
+
+def observed_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics out of the pass that writes the marked rows."""
+    folder = run_folder(spark)
+    marked = outcome.mark_duplicates(stored(decided(spark, sf), folder, "decided"))
+    watched, statistics = stats.observed(marked)
+    stored(watched, folder, "results")
+    return statistics()
+
+
 # ---- jobs -----------------------------------------------------------------
 
 def job_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,6 +474,8 @@ ENTRIES = {
     "assist_context": (assist_context, CONTEXT_SQL),
     "assist_answers": (assist_answers, ANSWERS_SQL),
     "assist_merge": (assist_merge, MERGE_SQL),
+    "stored_answers": (stored_answers, STORED_SQL),
+    "observed_stats": (observed_stats, OUTCOME_STATS_SQL),
     "job_status": (job_status, JOB_SQL),
     "incremental_ingest": (incremental_ingest, INGEST_SQL),
     "arriving_bytes": (arriving_bytes, ARRIVING_SQL),

@@ -122,7 +122,7 @@ def read_documents(
     """Document rows of a listing: archives shredded by ranges, other files
     from the span and block tables of an external reader."""
     nodes = stored(tags.with_kind(
-        archives.shred_archives(files.archive_files(listing), parser, root, entries)), folder, "nodes", by="kind")
+        archives.shred_archives(files.archive_files(listing), parser, root, entries, keep_in(folder))), folder, "nodes", by="kind")
     docs = tags.tagged_documents(nodes.select("rel_path").distinct(), nodes, options.fallback, keep_in(folder))
     if paths:
         docs = with_mapped_fields(docs, nodes, paths)
