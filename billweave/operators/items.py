@@ -65,15 +65,16 @@ def goods_area(df: DataFrame, text: str = "full_text") -> DataFrame:
     )
 
 
-def goods_from_text(df: DataFrame, text: str = "full_text", out: str = "text_items") -> DataFrame:
-    """Goods rows ``name [spec [unit [qty [price]]]] amount rate tax`` after the
-    header. Lines that do not fit are passed over."""
+def goods_row(line: Column) -> Column:
+    """Goods item of one line ``name [spec [unit [qty [price]]]] amount rate tax``; null if the line does not fit.
+
+    The row pattern in terms of tokens: as many optional ones as fit are skipped, then come a whole number, any token and
+    a leading number.
+    """
     number = r"\p{Nd}+\.?\p{Nd}*"
     whole, start = F.lit(f"(?d)^{number}$"), f"(?d)^({number})"
 
     def by_tokens(token: Column) -> Column:
-        """The row pattern in terms of tokens: as many optional ones as fit are
-        skipped, then come a whole number, any token and a leading number."""
         def skipping(n: int) -> Column:
             fits = (
                 (F.size(token) > n + 3)
@@ -89,12 +90,12 @@ def goods_from_text(df: DataFrame, text: str = "full_text", out: str = "text_ite
 
         return F.coalesce(*[skipping(n) for n in range(fv.GOODS_OPTIONAL_TOKENS, -1, -1)])
 
-    blanks = jvm_regex(r"\s+")
-    rows = F.filter(
-        F.transform(
-            F.split(F.col("_area"), "\n"),
-            lambda line: let(F.split(strip(line), blanks), by_tokens)),
-        lambda item: item.isNotNull())
+    return let(F.split(strip(line), jvm_regex(r"\s+")), by_tokens)
+
+
+def goods_from_text(df: DataFrame, text: str = "full_text", out: str = "text_items") -> DataFrame:
+    """Goods rows after the header. Lines that do not fit are passed over."""
+    rows = F.filter(F.transform(F.split(F.col("_area"), "\n"), goods_row), lambda item: item.isNotNull())
     return goods_area(df, text).withColumn(out, F.coalesce(rows, no_goods())).drop("_area")
 
 

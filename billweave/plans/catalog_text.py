@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from billweave import fixed_values as fv
 from billweave.functions import normalize
-from billweave.operators import checks, fields, items, layout, tags
+from billweave.operators import checks, fields, flat, items, layout, tags
 from billweave.operators.outcome import is_success
 from billweave.plans import render
 from billweave.plans.storage import run_folder, stored
 from billweave.plans.catalog_sql import GOODS, ORDER_HEADERS, PARTIES
-from billweave.plans.folder_run import extract, finish, with_document_columns
+from billweave.plans.folder_run import extract, finish, process_documents, with_document_columns
 from billweave.schemas import PARTY_FIELDS
 
 
@@ -237,6 +237,37 @@ SELECT number, item_no, goods_name,
 FROM goods"""
 
 
+def flat_goods_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """All goods lines as one document for each nation of suppliers, row by row: lines before the header and behind the
+    stop look like goods and are none."""
+    goods = render.goods(spark, sf)
+    supplier = render.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"))
+    place = F.col("order_key") * 1_000_000 + F.col("sheet") * 100 + F.col("item_no")
+    line = F.concat_ws("  ", "goods_name", F.col("amount").cast("string"), "tax_rate", F.col("tax_amount").cast("string"))
+    body = goods.join(supplier, "supplier").select("nation", place.alias("place"), line.alias("line"))
+    around = [(-3, "early 1.00 1% 0.01"), (-2, "项目名称 金额 税率 税额"), (-1, "（见清单）"), (1 << 60, "合 计 1.00 1% 0.01"), ((1 << 60) + 1, "late 1.00 1% 0.01")]
+    frame = spark.createDataFrame(around, "place bigint, line string")
+    nations = body.select("nation").distinct().join(F.broadcast(frame))
+    found = flat.goods_from_lines(body.unionByName(nations), ["nation"], "place", "line")
+    return found.select("nation", "place", "goods_name", "amount", "tax_rate", "tax_amount")
+
+
+FLAT_GOODS_SQL = f"""WITH {GOODS.replace("l_orderkey AS order_key,", "l_orderkey AS order_key, l_suppkey AS supplier,", 1)}
+SELECT s_nationkey AS nation, order_key * 1000000 + sheet * 100 + item_no AS place, goods_name, CAST(amount AS VARCHAR) AS amount,
+       tax_rate, CAST(tax_amount AS VARCHAR) AS tax_amount
+FROM goods JOIN supplier ON supplier = s_suppkey"""
+
+
+def block_goods_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents whose text has a goods header and no goods lines, but whose blocks have them."""
+    docs = render.goods_blocks(spark, sf).select(
+        "rel_path", "blocks", F.concat(F.lit("发票号码："), "number", F.lit("\n项目名称 金额\n（见块）\n合计\n价税合计：1.00")).alias("full_text"),
+        F.lit(fv.SOURCE_TEXT).alias("source"), F.lit(1.0).alias("confidence"))
+    done = stored(process_documents(docs), run_folder(spark), "decided")
+    return items.explode_goods(done, "invoice_number").select(
+        F.col("invoice_number").alias("number"), F.col("item_no").cast("bigint").alias("item_no"), "goods_name", "amount", "tax_rate", "tax_amount")
+
+
 def three_level_check(spark: SparkSession, sf: str) -> DataFrame:
     """Flat form: stated totals of every order against its goods table."""
     goods = stored(render.goods(spark, sf).select("number", "order_key", "amount", "tax_amount"), run_folder(spark), "goods")
@@ -393,6 +424,8 @@ ENTRIES = {
                CASE WHEN o_orderkey % 2 = 0 THEN '丁戊厂' ELSE '某某集团' END AS seller_name
         FROM orders JOIN customer ON o_custkey = c_custkey"""),
     "goods_lines_text": (goods_lines_text, GOODS_SQL),
+    "flat_goods_lines": (flat_goods_lines, FLAT_GOODS_SQL),
+    "block_goods_only": (block_goods_only, GOODS_BLOCKS_SQL),
     "goods_lines_blocks": (goods_lines_blocks, GOODS_BLOCKS_SQL),
     "goods_precedence": (goods_precedence, PRECEDENCE_SQL),
     "three_level_check": (three_level_check, CHECK_SQL),

@@ -139,7 +139,7 @@ def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         numbered.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
         .select(
-            F.col("l_orderkey").alias("order_key"), sheet.alias("sheet"),
+            F.col("l_orderkey").alias("order_key"), sheet.alias("sheet"), F.col("l_suppkey").alias("supplier"),
             (F.col("ordinal") % SHEET_ROWS + 1).cast("bigint").alias("item_no"),
             F.concat(padded(F.col("l_orderkey"), 14), padded(sheet, 6)).alias("number"),
             F.concat(F.replace(F.coalesce("p_name", F.lit("part")), F.lit(" "), F.lit("-")),
