@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from billweave import fixed_values as fv
 from billweave.operators import assist, outcome, stats
 from billweave.plans import render
-from billweave.plans.catalog_sql import GOODS, ORDER_HEADERS, OUTCOMES
+from billweave.plans.catalog_sql import GOODS, HEADER_TEXT, ORDER_HEADERS, OUTCOMES
 from billweave.plans.folder_run import extract, finish, process_documents
 from billweave.plans.storage import keep_in, remove, run_folder, stored
 from billweave.sources import file_source, files, sinks
@@ -240,18 +240,18 @@ FROM goods"""
 # ---- assistance -----------------------------------------------------------
 
 def assist_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole request of every empty field of low-confidence documents."""
     extracted = stored(extract(render.header_documents(spark, sf)), run_folder(spark), "extracted")
-    queue = assist.requests(extracted).join(extracted.select("rel_path", "full_text"), "rel_path")
-    return queue.select(
-        "rel_path", "field", F.right("request_text", F.char_length("field") + 1).alias("ending"),
-        F.contains("request_text", F.left("full_text", F.lit(3000))).alias("has_context"),
-        F.md5(F.encode("system_text", "UTF-8")).alias("system_md5"))
+    whole = F.concat("system_text", F.lit("|"), "request_text")
+    return assist.requests(extracted).select("rel_path", "field", F.md5(F.encode(whole, "UTF-8")).alias("request_md5"))
 
 
-QUEUE_SQL = f"""WITH {ORDER_HEADERS},
-low AS (SELECT *, md5('{fv.ASSIST_SYSTEM_TEXT}') AS system_md5, true AS has_context FROM headers WHERE order_key % 4 >= 2)
-SELECT rel_path, 'total_amount_cn' AS field, 'total_amount_cn=' AS ending, has_context, system_md5 FROM low
-UNION ALL SELECT rel_path, 'invoice_number', 'invoice_number=', has_context, system_md5 FROM low WHERE order_key % 11 = 0"""
+QUEUE_SQL = f"""WITH {ORDER_HEADERS}, {HEADER_TEXT},
+wanted AS (SELECT rel_path, full_text, 'total_amount_cn' AS field FROM texts WHERE order_key % 4 >= 2
+           UNION ALL SELECT rel_path, full_text, 'invoice_number' FROM texts WHERE order_key % 4 >= 2 AND order_key % 11 = 0)
+SELECT rel_path, field, md5('{fv.ASSIST_SYSTEM_TEXT}' || '|' || '{fv.ASSIST_REQUEST_PARTS[0]}' || substring(full_text, 1, 3000)
+  || '{fv.ASSIST_REQUEST_PARTS[1]}' || field || '=') AS request_md5
+FROM wanted"""
 
 
 def assist_context(spark: SparkSession, sf: str) -> DataFrame:

@@ -83,3 +83,20 @@ results AS (
   SELECT *, CASE WHEN NOT has_invoice THEN 'failed' WHEN is_dedup THEN 'skipped' ELSE 'success' END AS status
   FROM marked)
 """
+
+# the date of an order in one of five styles
+DATE_SQL = """CASE order_key % 5 WHEN 0 THEN strftime(order_date, '%Y年%m月%d日') WHEN 1 THEN strftime(order_date, '%Y年%-m月%-d日')
+  WHEN 2 THEN strftime(order_date, '%Y/%m/%d') WHEN 3 THEN strftime(order_date, '%Y-%-m-%-d') ELSE strftime(order_date, '%Y%m%d') END"""
+
+# the text of a rendered order header
+HEADER_TEXT = f"""
+texts AS (
+  SELECT *, concat_ws(chr(10), '增值税电子普通发票', '发票代码：', code,
+    CASE WHEN order_key % 11 <> 0 THEN '发票号码： ' || chr(10) || chr(10) || '  '
+      || CASE WHEN order_key % 7 = 0 THEN translate(number, '0123456789', '０１２３４５６７８９') ELSE number END END,
+    '开票日期：' || {DATE_SQL}, '校验码：' || regexp_replace(number, '(.{{4}})', '\\1 ', 'g'),
+    '购 名称：' || buyer || '  销 名称：' || seller,
+    '合 计 ¥' || CAST(pretax AS VARCHAR) || ' ¥' || CAST(CAST(total - pretax AS DECIMAL(18,2)) AS VARCHAR),
+    CASE WHEN order_key % 17 <> 0 THEN '价税合计（小写）￥' || format('{{:,.2f}}', CAST(total AS DOUBLE)) ELSE '以下空白' END) AS full_text
+  FROM headers)
+"""

@@ -15,7 +15,8 @@ CORE = [
     "normalize_amount", "normalize_code_width", "classify_route", "scan_documents", "admission_check", "magic_check",
     "failure_reasons", "path_order", "custom_mapping", "mapped_goods", "plugged_parser", "goods_lines_text",
     "goods_precedence", "text_source_choice", "recognised_reading_order", "block_source", "unplaced_text",
-    "assist_answers", "assist_context", "incremental_ingest",
+    "assist_answers", "assist_context", "incremental_ingest", "arriving_bytes", "listed_types", "sql_object_text",
+    "flat_goods_lines", "one_page_lines", "assist_queue", "stored_answers",
 ]
 
 
