@@ -215,6 +215,29 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
 FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least l ON d.doc_id = l.doc_id
 """
 
+CHECK_SQL["op12_suffix_dedup"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+begins AS (
+  SELECT id, s, md5_number(hex(array_slice(bytes, s + 1, s + 400))) AS digest
+  FROM (SELECT id, bytes, unnest(range(octet_length(bytes) - 399)) AS s FROM docs WHERE octet_length(bytes) >= 400)),
+again AS (SELECT id, s FROM begins WHERE digest IN (SELECT digest FROM begins GROUP BY digest HAVING count(*) > 1)),
+marked AS (SELECT id, s, s > lag(s, 1, -1000) OVER w + 400 AS fresh FROM again WINDOW w AS (PARTITION BY id ORDER BY s)),
+runs AS (SELECT id, s, sum(fresh::INT) OVER (PARTITION BY id ORDER BY s) AS run FROM marked),
+spans AS (SELECT id, min(s) AS low, max(s) + 400 AS high FROM runs GROUP BY id, run),
+gaps AS (
+  SELECT d.id, coalesce(lag(high) OVER w, 0) AS low, s.low AS high, bytes FROM docs d JOIN spans s USING (id)
+  WINDOW w AS (PARTITION BY d.id ORDER BY s.low)
+  UNION ALL
+  SELECT d.id, coalesce(max(s.high), 0), octet_length(any_value(bytes)), any_value(bytes) FROM docs d LEFT JOIN spans s USING (id) GROUP BY d.id),
+kept AS (
+  SELECT id, unhex(coalesce(string_agg(hex(array_slice(bytes, low + 1, high)), '' ORDER BY low), '')) AS kept
+  FROM gaps WHERE high > low GROUP BY id),
+sums AS (SELECT id, count(*) AS n_spans, CAST(sum(high - low) AS BIGINT) AS n_removed FROM spans GROUP BY id)
+SELECT doc_id, octet_length(bytes) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(coalesce(kept, ''::BLOB)) AS kept_sha256
+FROM docs LEFT JOIN sums USING (id) LEFT JOIN kept USING (id)
+"""
+
 CHECK_SQL["op13_merkle_manifest"] = r"""
 WITH RECURSIVE parts AS (
   SELECT row_number() OVER () AS id, doc_id, source, text,
