@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,7 +36,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 @functools.lru_cache
 def own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"billweave-{application}-")
+    folder = tempfile.mkdtemp(prefix=f"billweave-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def bounded_batches(spark: SparkSession) -> None:

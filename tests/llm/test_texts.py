@@ -2,8 +2,8 @@
 
 import hashlib
 import random
-import time
 import struct
+import time
 import zipfile
 
 import public_tokenizers
