@@ -29,6 +29,7 @@ from billweave.llm.tables import BATCH_ROWS, stored, texts, with_python_columns,
 
 SEED_BYTES = 128
 NEIGHBOURS = 16
+HEAVY = 4
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 4 << 20
 SORT_MEMORY = 256 << 20
@@ -233,6 +234,17 @@ def shard_repeats(parts: DataFrame, length: int, memory: int) -> DataFrame:
     return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
+def dealt_parts(parts: DataFrame, shard_bytes: int) -> DataFrame:
+    """Parts as they are dealt to shards. Where the parts of one ``near`` come to HEAVY shards, each region is dealt by its own
+    least hash instead, as a part of its own, so a passage that very many texts share spreads over shards."""
+    sizes = parts.groupBy("near").agg(F.sum(F.octet_length("part")).alias("bytes"))
+    heavy = sizes.where(F.col("bytes") > HEAVY * shard_bytes).select("near")
+    alone = parts.join(heavy, "near", "left_semi").select("part", F.explode("own").alias("r")).select(
+        F.col("r.least").alias("near"), F.substring("part", F.col("r.offset") + 1, F.col("r.size")).alias("part"),
+        F.array(F.struct("r.least", "r.digest", "r.count", F.lit(0).alias("offset"), "r.size")).alias("own"))
+    return parts.join(heavy, "near", "left_anti").unionByName(alone)
+
+
 def repeated_places(
     texts_by_key: DataFrame, length: int, seed: int, shard_bytes: int, memory: int, folder: str,
 ) -> DataFrame:
@@ -245,9 +257,9 @@ def repeated_places(
     lists = stored(distinct.groupBy("at.key").agg(F.collect_list(
         F.struct("near", "least", "digest", "count", "at.begin", "at.size")).alias("regions")), folder, "lists")
     parts = stored(region_texts(lists, texts_by_key, length), folder, "parts")
-    total = parts.agg(F.sum(F.octet_length("part"))).first()[0] or 0
-    shards = total // shard_bytes + 1
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("near"), F.lit(shards)))
+    dealt = dealt_parts(parts, shard_bytes)
+    total = dealt.agg(F.sum(F.octet_length("part"))).first()[0] or 0
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("near"), F.lit(total // shard_bytes + 1)))
     found = stored(shard_repeats(dealt, length, memory), folder, "found")
     places = shared.select("key", "least", "digest", "begin").join(found, ["least", "digest"]).select(
         "key", F.explode(F.transform("places", lambda p: F.struct(

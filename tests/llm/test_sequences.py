@@ -152,7 +152,7 @@ def test_repeats_are_removed(spark, monkeypatch, length, setting):
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, KEPT string")
     got = sorted(map(tuple, suffix_dedup.remove_repeats(df, length=length, **setting).collect()), key=str)
     assert [(*r[:4], bytes(r[4]), r[5]) for r in got] == without_repeats(docs, length)
-    assert suffix_dedup.remove_repeats(df.limit(0), length=length).count() == 0
+    assert suffix_dedup.remove_repeats(df.limit(0), length=length, **setting).count() == 0
 
 
 def test_sizes_that_cannot_work(spark):
